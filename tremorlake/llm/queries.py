@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import edited_fingerprints
 from .jaccard_join import jaccard_components
+from .packing import pack
+from .substring_dedup import substring_dedup
+from .token_counts import token_counts
+from .toxicity import fit, score
+
+
+def vocabulary() -> str:
+    """Place of the public byte-level vocabulary as ranks: the ids of byte_bpe_50k.json, found faster."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +27,29 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict:
-    return {"op1_jaccard_join": op1_jaccard_join}
+    return {f.__name__: f for f in (op1_jaccard_join, op3_fingerprints, op4_toxicity, op7_packing, op8_substring_dedup, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

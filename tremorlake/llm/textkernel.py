@@ -19,6 +19,8 @@ SLICE_BYTES = 2 << 20
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but letters and digits.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_CODE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -51,6 +53,18 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+class ByteSums:
+    """Prefix sums from which any span of bytes is hashed in constant time."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = powers(_BYTE_BASE, len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=self.sums[1:])
+
+    def spans(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return mix((self.sums[hi] - self.sums[lo]) * self.down[lo] + (hi - lo).astype(np.uint64))
+
+
 class Words:
     """The words of a slice of texts.
 
@@ -58,11 +72,11 @@ class Words:
     bounds[i]:bounds[i + 1]; hashes: 64 bits of each word.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, separators: np.ndarray = _SEP):
         self.data, self.offsets = data, offsets
         if lower:
             data = _LOWER[data]
-        inside = ~_SEP[data]
+        inside = ~separators[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True
         first = inside.copy()
@@ -72,10 +86,7 @@ class Words:
         self.starts = np.flatnonzero(first)
         self.ends = np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
-        up, down = powers(_BYTE_BASE, len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.hashes = ByteSums(data).spans(self.starts, self.ends)
 
     @property
     def counts(self) -> np.ndarray:
