@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import secret_scan, url_filter
+from .decontamination import leaks
 from .fingerprints import edited_fingerprints
+from .html_text import extract_text
 from .jaccard_join import jaccard_components
 from .packing import pack
 from .substring_dedup import substring_dedup
@@ -27,6 +30,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -36,6 +43,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -48,8 +63,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op3_fingerprints, op4_toxicity, op7_packing, op8_substring_dedup, op9_token_counts)}
+    ops = (op1_jaccard_join, op2_secret_scans, op3_fingerprints, op4_toxicity, op5_decontamination, op6_url_filters, op7_packing, op8_substring_dedup, op9_token_counts, op10_html_extraction)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
