@@ -26,7 +26,8 @@ def fill_gaps(x: np.ndarray, max_gap: int, least: int = 3) -> np.ndarray:
     """Flat runs give way to the data after them: as much as the run is long, max_gap samples, or up to the next run, repeated where that is shorter."""
     x, last = x.copy(), len(x) - 1
     runs = zero_runs(x, least)
-    for (first, end), follower in zip(runs, [*[r[0] for r in runs[1:]], last], strict=True):
+    for i, (first, end) in enumerate(runs):
+        follower = runs[i + 1][0] if i + 1 < len(runs) else last
         lo, hi = max(0, first - 1), min(last, end + 1)
         source = x[hi : min(hi + (hi - lo), hi + max_gap, follower)]
         if len(source):
