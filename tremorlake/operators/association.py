@@ -68,14 +68,18 @@ def associate_day(picks: pd.DataFrame, tt: TravelTimes) -> list[dict]:
     ot, tp = picks.sta_ot_us.to_numpy(np.int64), picks.tp_us.to_numpy(np.int64)
     sta = picks.net_sta.map(tt.names).to_numpy(np.int64)
     alive, drops, out = np.arange(len(picks)), np.zeros(len(picks), dtype=int), []
-    near = p.ot_dev_us - 1
+    near, times = p.ot_dev_us - 1, ot
+
+    def count(a: int, b: int) -> np.ndarray:
+        return np.searchsorted(times, times[a:b] + near, side="right") - np.searchsorted(times, times[a:b] - near)
+
+    counts = count(0, len(times))
     while len(alive):
-        times = ot[alive]
-        lo, hi = np.searchsorted(times, times - near), np.searchsorted(times, times + near, side="right")
-        centre = int(np.argmax(hi - lo))
-        if hi[centre] - lo[centre] < p.min_sta:
+        centre = int(np.argmax(counts))
+        if counts[centre] < p.min_sta:
             break
-        own = alive[lo[centre] : hi[centre]]
+        lo, hi = (int(np.searchsorted(times, times[centre] + d, side=e)) for d, e in ((-near, "left"), (near, "right")))
+        own = alive[lo:hi]
         origin = ot[own[len(own) // 2]]
         most, cell, res, member = tt.locate(sta[own], (tp[own] - origin) / 1e6)
         if most < p.min_sta:
@@ -86,9 +90,11 @@ def associate_day(picks: pd.DataFrame, tt: TravelTimes) -> list[dict]:
             mag = tt.magnitude(sta[own[member]], rows.s_amp.to_numpy(float), lat, lon, dep)
             out.append({"event_no": len(out), "ot_us": int(origin), "lat": lat, "lon": lon, "dep": dep, "mag": mag, "res": round(res, 1), "n_picks": int(member.sum()), "net_sta": list(rows.net_sta), "tp_us": list(rows.tp_us), "ts_us": list(rows.ts_us), "s_amp": list(rows.s_amp)})
         drops[own[~member]] += 1
-        gone = np.zeros(len(picks), dtype=bool)
-        gone[own[member]] = True
-        alive = alive[~gone[alive] & (drops[alive] <= p.max_drop)]
+        gone = lo + np.flatnonzero(member | (drops[own] > p.max_drop))
+        # only counts near the cluster change
+        a, b = int(np.searchsorted(times, times[lo] - near)), int(np.searchsorted(times, times[hi - 1] + near, side="right"))
+        alive, times, counts = np.delete(alive, gone), np.delete(times, gone), np.delete(counts, gone)
+        counts[a : b - len(gone)] = count(a, b - len(gone))
     return out
 
 

@@ -16,7 +16,7 @@ def parse_stations(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     Lines with other counts are left out. stations: the first line of each station;
     gains: net_sta, ord (1, 2, ...), ge, gn, gz, t0_us, t1_us.
     """
-    f = F.transform(F.split("line", ","), F.trim)
+    f = F.transform(F.split("line", ","), lambda x: F.trim(x))
     own = lines.withColumn("f", f).withColumn("n", F.size("f") - 4).where("n in (1, 3, 5)")
     num = lambda i: F.get("f", F.lit(i)).try_cast("double")
     one = F.col("n") == 1
