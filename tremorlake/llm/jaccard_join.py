@@ -32,7 +32,7 @@ PARTS_OF_SKETCH = 64
 #: Members that one piece of a hot region has, about.
 PIECE = 4096
 #: Shingles that a map task gathers before it sends them.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 NONE = "cast(null as binary)"
 
 

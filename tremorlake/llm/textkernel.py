@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Texts are worked on in slices of about so many bytes, which bounds the memory of a batch.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -49,7 +49,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
-    up, down = _powers(base, 1 << max(12, int(n).bit_length()))
+    up, down = _powers(base, -(-int(n) // 2**18) * 2**18)
     return up[:n], down[:n]
 
 
