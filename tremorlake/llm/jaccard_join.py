@@ -3,27 +3,29 @@
 Shingle sets are points; d(x, y) = 1 - |x & y| / |x | y| is a metric. The space is cut
 into regions, one per shingle that could be the rarest shared one of a linked pair: two
 sets within radius r share one of the first n - ceil((1 - r) n) + 1 shingles of each, in
-any fixed order, here by corpus frequency class, so regions hold few strangers. In each
-region pivots are taken, every member is compared with them, and members outside all
-pivots' balls of radius r go on, together with those ball members which the triangle
-inequality still allows a link to them (d(x, p) >= min d(z, p) - r); with 4**k pivots in
-round k, a region ends after a logarithmic number of rounds. Members of one ball are
-joined through its pivot, so no pairs within a group of copies are made. Equal sets are
-one point.
-
-Regions of very frequent shingles are held in pieces, dealt out by a hash of the member
-with pivots in common, so no task holds a whole hot region.
+any fixed order, here by corpus frequency class, so regions hold few strangers. Regions
+are then joined recursively. A pivot (the member with the smallest share of rarer
+shingles, which copies stand around) is compared with all members; members that its ball
+of radius r or any other region joins are one component, whose inner pairs need no look.
+Of what is left in a region, a member goes on only where the triangle inequality lets it
+link to a member of another component (d(z, p) within r of d(x, p)); with 4**k pivots in
+round k, which leave the region once compared, rounds stay few. So a group of g copies
+takes g comparisons, not g squared, and no link that joins components is missed. Equal
+sets are one point.
+
+Postings of very frequent shingles are salted on their way, and regions are held as rows,
+so no task holds a whole hot region.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .exchange import Bloom, Scratch, binary, deal, parts, shared_dir, signed, split_by, together  # noqa: F401
+from .exchange import Bloom, Scratch, binary, deal, parts, signed, split_by, together
 from .textkernel import U64, Words, blobs, mix, shingle_sets, slices, unblob
 
 #: Cells of the frequency sketch; it only orders shingles, results do not depend on it.
@@ -33,7 +35,6 @@ PARTS_OF_SKETCH = 64
 PIECE = 4096
 #: Shingles that a map task gathers before it sends them.
 FLUSH = 1 << 18
-NONE = "cast(null as binary)"
 
 
 def _sets(batches, column, k):
@@ -85,18 +86,20 @@ def _points(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, bytes
 
 
 def _regions(docs: DataFrame, k: int, num: int, den: int, classes: bytes) -> DataFrame:
-    """(rid, piece, open, ball): members of regions with two points at least, each as (fp, n) records."""
+    """(rid, fp, n, score): members of each region; regions with the same members are one; score: the share of rarer shingles."""
     spark, n_parts = docs.sparkSession, parts(docs.sparkSession)
     shared = spark.sparkContext.broadcast(classes)  # CELLS bytes
-    posting = np.dtype([("h", "<u8"), ("fp", "<u8"), ("n", "<i4"), ("hot", "<i4")])
+    posting = np.dtype([("h", "<u8"), ("fp", "<u8"), ("n", "<i4"), ("hot", "<u2"), ("score", "<u2")])
+
+    def salts(p):
+        return np.where(p["hot"] > 0, (p["fp"] >> U64(17)) % np.maximum(p["hot"], 1).astype(np.uint64) + U64(1), U64(0))
 
     def emit(batches):
         table, seen, held, size = np.frombuffer(shared.value, dtype=np.uint8), np.zeros(0, dtype=np.uint64), [], 0
 
         def flush():
             p = np.concatenate(held)
-            salt = np.where(p["hot"] > 0, (p["fp"] >> U64(17)) % np.maximum(p["hot"], 1).astype(np.uint64) + U64(1), U64(0))
-            to = ((mix(p["h"] + salt) >> U64(8)) % U64(n_parts)).astype(np.int64)
+            to = ((mix(p["h"] + salts(p)) >> U64(8)) % U64(n_parts)).astype(np.int64)
             out = split_by(to, n_parts, p)
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), binary([a[0] for _, a in out])], names=["bucket", "postings"])
 
@@ -114,7 +117,8 @@ def _regions(docs: DataFrame, k: int, num: int, den: int, classes: bytes) -> Dat
             at = order[take]
             p["h"], p["fp"], p["n"] = h[at], fp[of[at]], n[of[at]]
             count = np.exp2(cls[at] / 4.0)
-            p["hot"] = np.where(count >= PIECE, np.ceil(count / PIECE), 0)
+            p["hot"] = np.where(count >= PIECE, np.minimum(np.ceil(count / PIECE), 65535), 0)
+            p["score"] = place[take] * 65535 // n[of[at]]
             held.append(p)
             size += len(p)
             if size >= FLUSH:
@@ -126,7 +130,7 @@ def _regions(docs: DataFrame, k: int, num: int, den: int, classes: bytes) -> Dat
     def meet(batches):
         got = [together(b.column(1).to_pylist(), posting) for b in batches]
         p = np.concatenate(got) if got else np.zeros(0, dtype=posting)
-        salt = np.where(p["hot"] > 0, (p["fp"] >> U64(17)) % np.maximum(p["hot"], 1).astype(np.uint64) + U64(1), U64(0))
+        salt = salts(p)
         p, salt = (x[np.lexsort((p["fp"], salt, p["h"]))] for x in (p, salt))
         if not len(p):
             return
@@ -143,8 +147,9 @@ def _regions(docs: DataFrame, k: int, num: int, den: int, classes: bytes) -> Dat
         want = hot | (size >= 2)
         start, size, hot, rid, salt = start[want], size[want], hot[want], rid[want], salt[start[want]]
         _, one = np.unique(np.where(hot, mix(rid + salt), rid), return_index=True)
-        member = np.zeros(len(p), dtype=[("fp", "<u8"), ("n", "<i4")])
-        member["fp"], member["n"] = p["fp"], p["n"]
+        member = np.zeros(len(p), dtype=MEMBER)
+        for c in MEMBER.names:
+            member[c] = p[c]
         to = ((rid >> U64(8)) % U64(n_parts)).astype(np.int64)
         for b in np.unique(to[one]):
             mine = one[to[one] == b]
@@ -157,84 +162,54 @@ def _regions(docs: DataFrame, k: int, num: int, den: int, classes: bytes) -> Dat
         seen: set = set()
         for batch in batches:
             for heads, members in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                at, out = 0, []
-                for r in np.frombuffer(heads, dtype=[("rid", "<u8"), ("piece", "<i4"), ("size", "<i4")]):
-                    width = int(r["size"]) * 12
+                at, keep = 0, []
+                head = np.frombuffer(heads, dtype=[("rid", "<u8"), ("piece", "<i4"), ("size", "<i4")])
+                for r in head:
                     key = (int(r["rid"]), int(r["piece"]))
-                    if key not in seen:
-                        seen.add(key)
-                        out.append((*key, members[at : at + width]))
-                    at += width
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array([r[0] for r in out], dtype=np.uint64).view(np.int64)), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary()), pa.array([b""] * len(out), pa.binary())], names=["rid", "piece", "open", "ball"])
+                    keep.append(key not in seen)
+                    seen.add(key)
+                    at += int(r["size"])
+                rows = np.frombuffer(members, dtype=MEMBER)[np.repeat(keep, head["size"])]
+                if len(rows):
+                    rid = np.repeat(head["rid"][keep], head["size"][keep])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(rid)), pa.array(signed(rows["fp"].copy())), pa.array(rows["n"].copy()), pa.array(rows["score"].astype(np.int32))], names=["rid", "fp", "n", "score"])
 
     postings = docs.select("doc_id", "text").mapInArrow(emit, "bucket int, postings binary")
     met = deal(postings, n_parts).mapInArrow(meet, "bucket int, heads binary, members binary")
-    return deal(met, n_parts).mapInArrow(unique, "rid long, piece int, open binary, ball binary")
-
-
-MEMBER = np.dtype([("fp", "<u8"), ("n", "<i4")])
-REGION = "rid long, piece int, open binary, ball binary"
-
+    return deal(met, n_parts).mapInArrow(unique, "rid long, fp long, n int, score int")
 
-def _fps(regions: DataFrame) -> DataFrame:
-    def each(batches):
-        for b in batches:
-            fp = np.unique(together(b.column(0).to_pylist(), MEMBER)["fp"])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(fp))], names=["fp"])
-
-    return regions.select("open").mapInArrow(each, "fp long")
 
+MEMBER = np.dtype([("fp", "<u8"), ("n", "<i4"), ("score", "<u2")])
 
-def _pivots(regions: DataFrame, m: int) -> DataFrame:
-    """Adds pivots: the m least open members of the whole region, as (fp, n) records."""
 
-    def least(open_: bytes) -> bytes:
-        a = np.frombuffer(open_, dtype=MEMBER)
-        return np.sort(a, order="fp")[:m].tobytes()
+def _pairs(members: DataFrame, m: int, num: int, den: int) -> DataFrame:
+    """(rid, fp, pivot) rows of each region's m pivots with members of other components whose sizes allow a link."""
+    if m == 1:
+        pivots = members.groupBy("rid").agg(F.min(F.struct("score", "fp", "n", "root")).alias("p")).select("rid", F.col("p.fp").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.root").alias("proot"))
+    else:
+        rank = F.row_number().over(Window.partitionBy("rid").orderBy("score", "fp"))
+        pivots = members.select("rid", F.col("fp").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"), rank.alias("rk"), "score", "fp").where(F.col("rk") <= m).select("rid", "pivot", "pn", "proot")
+    return members.join(pivots, "rid").select("rid", "fp", "pivot", "n", "pn", "root", "proot")
 
-    def own(batches):
-        for b in batches:
-            yield b.append_column("pivots", pa.array([least(x) for x in b.column(2).to_pylist()], pa.binary()))
 
-    def join(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([least(b"".join(x)) for x in b.column(1).to_pylist()], pa.binary())], names=["rid", "pivots"])
+def _distinct(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    allowed = (F.col("root") != F.col("proot")) & (den * F.least("n", "pn") >= num * F.greatest("n", "pn"))
+    return pairs.where(allowed).select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")).distinct()
 
-    alone = regions.where("piece = 0").mapInArrow(own, f"{REGION}, pivots binary")
-    pieces = regions.where("piece > 0").mapInArrow(own, f"{REGION}, pivots binary")
-    common = pieces.groupBy("rid").agg(F.collect_list("pivots").alias("all")).mapInArrow(join, "rid long, pivots binary")
-    return alone.unionByName(pieces.drop("pivots").join(common, "rid").select("rid", "piece", "open", "ball", "pivots"))
 
+#: Bytes of a hash in a set that is sent: 48 bits, so a pair of sets of 300 is misjudged with probability below 1e-9.
+SENT = 6
 
-def _pairs(with_pivots: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (a, b) of pivots and members whose sizes allow a link."""
-    n_parts = parts(with_pivots.sparkSession)
-    pair = np.dtype([("a", "<u8"), ("b", "<u8")])
 
-    def emit(batches):
-        for batch in batches:
-            out = []
-            for open_, ball, pivots in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                x = np.frombuffer(open_ + ball, dtype=MEMBER)
-                for p in np.frombuffer(pivots, dtype=MEMBER):
-                    y = x[(x["fp"] != p["fp"]) & (den * np.minimum(x["n"], p["n"]).astype(np.int64) >= num * np.maximum(x["n"], p["n"]).astype(np.int64))]["fp"]
-                    r = np.zeros(len(y), dtype=pair)
-                    r["a"], r["b"] = np.minimum(y, p["fp"]), np.maximum(y, p["fp"])
-                    out.append(r)
-            p = np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=pair)
-            to = ((mix(p["a"] + mix(p["b"])) >> U64(8)) % U64(n_parts)).astype(np.int64)
-            got = split_by(to, n_parts, p)
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.int32()), binary([a[0] for _, a in got])], names=["bucket", "pairs"])
+def _narrow(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return blobs(np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - SENT :]).reshape(-1), bounds * SENT)
 
-    def unique(batches):
-        got = [together(b.column(1).to_pylist(), pair) for b in batches]
-        if got:
-            p = np.unique(np.concatenate(got))
-            for i in range(0, len(p), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(p["a"][i : i + 50_000].copy())), pa.array(signed(p["b"][i : i + 50_000].copy()))], names=["a", "b"])
 
-    return deal(with_pivots.mapInArrow(emit, "bucket int, pairs binary"), n_parts).mapInArrow(unique, "a long, b long")
+def _wide(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw, bounds = unblob(column, np.uint8)
+    h = np.zeros((len(raw) // SENT, 8), dtype=np.uint8)
+    h[:, 8 - SENT :] = raw.reshape(-1, SENT)
+    return h.reshape(-1).view("<u8"), bounds // SENT
 
 
 def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -242,8 +217,7 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def count(batches):
         for b in batches:
-            x, xb = unblob(b.column(2))
-            y, yb = unblob(b.column(3))
+            (x, xb), (y, yb) = _wide(b.column(2)), _wide(b.column(3))
             nx, ny = np.diff(xb), np.diff(yb)
             # equal hashes within a pair stand next to each other once sorted by (pair, hash)
             row = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
@@ -259,41 +233,23 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(count, "a long, b long, both long, total long")
 
 
-def _next(with_pivots: DataFrame, measured: DataFrame, num: int, den: int) -> DataFrame:
-    """Regions of what the pivots left open: members outside every ball, and ball members near enough to one of them."""
+def _open(members: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """Members (rid, fp, n, score, d0) with their component now, but for those that the triangle inequality rules out.
 
-    def candidates(batches):
-        for batch in batches:
-            for rid, piece, open_, ball, pivots in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                o, x = len(open_) // 12, np.frombuffer(open_ + ball, dtype=MEMBER)
-                ps = np.frombuffer(pivots, dtype=MEMBER)["fp"]
-                m, q = len(x), len(ps)
-                a, b = np.repeat(x["fp"], q), np.tile(ps, m)
-                yield pa.RecordBatch.from_arrays([pa.array([rid] * (m * q), pa.int64()), pa.array([piece] * (m * q), pa.int32()), pa.array(signed(a)), pa.array(np.repeat(x["n"], q)), pa.array(np.repeat(np.arange(m) < o, q)), pa.array(signed(b)), pa.array(signed(np.minimum(a, b))), pa.array(signed(np.maximum(a, b)))], names=["rid", "piece", "fp", "n", "was_open", "pivot", "a", "b"])
-
-    rows = with_pivots.mapInArrow(candidates, "rid long, piece int, fp long, n int, was_open boolean, pivot long, a long, b long")
-    far = measured.select("a", "b", (1 - F.col("both") / F.col("total")).alias("d"), (den * F.col("both") >= num * F.col("total")).alias("near"))
-    dist = rows.join(far, ["a", "b"], "left").select("rid", "piece", "fp", "n", "was_open", "pivot", F.when(F.col("fp") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("d"), F.when(F.col("fp") == F.col("pivot"), True).otherwise(F.coalesce("near", F.lit(False))).alias("near"))
-    member = dist.groupBy("rid", "piece", "fp", "n", "was_open").agg(F.max("near").alias("in_ball"), F.max(F.col("fp") == F.col("pivot")).alias("is_pivot"), F.collect_list(F.struct("pivot", "d")).alias("ds"))
-    still = F.col("was_open") & ~F.col("in_ball")
-    # the least distance to each pivot of what is open still, over the whole region
-    edge = member.where(still).select("rid", F.explode("ds").alias("x")).groupBy("rid", F.col("x.pivot").alias("pivot")).agg(F.min("x.d").alias("edge"))
-    edges = edge.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "edge"))).alias("edges"))
+    d0: distance to the region's first pivot (null: not known). A member stays where some
+    member of another component is within r of its own distance.
+    """
+    own = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("rid", "fp", "n", "score", "d0", F.coalesce("root", "fp").alias("root"))
+    lo, hi = F.coalesce("d0", F.lit(0.0)), F.coalesce("d0", F.lit(1.0))
+    groups = own.groupBy("rid", "root").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    edge = groups.groupBy("rid").agg(F.min(F.struct("lo", "root")).alias("least"), F.max(F.struct("hi", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    # the least and the largest distance outside the root that has the extreme one
+    second = groups.join(edge, "rid").groupBy("rid").agg(F.min(F.when(F.col("root") != F.col("least.root"), F.col("lo"))).alias("lo2"), F.max(F.when(F.col("root") != F.col("most.root"), F.col("hi"))).alias("hi2"))
+    both = edge.join(second, "rid")
+    least = F.when(F.col("root") == F.col("least.root"), F.col("lo2")).otherwise(F.col("least.lo"))
+    most = F.when(F.col("root") == F.col("most.root"), F.col("hi2")).otherwise(F.col("most.hi"))
     r = 1 - num / den + 1e-9
-    kept = member.join(edges, "rid").where(still | (~F.col("is_pivot") & F.forall("ds", lambda x: x["d"] >= F.element_at("edges", x["pivot"]) - r)))
-
-    def gather(batches):
-        for b in batches:
-            cols = [[], []]
-            for o, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                for out, rows in zip(cols, (o, c), strict=True):
-                    a = np.zeros(len(rows), dtype=MEMBER)
-                    a["fp"], a["n"] = np.array([x["fp"] for x in rows], dtype=np.int64).view(np.uint64), [x["n"] for x in rows]
-                    out.append(a.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary())], names=["rid", "piece", "open", "ball"])
-
-    one = F.struct("fp", "n")
-    return kept.groupBy("rid", "piece").agg(F.collect_list(F.when(still, one)).alias("o"), F.collect_list(F.when(~still, one)).alias("c")).mapInArrow(gather, REGION)
+    return own.join(both, "rid").where((hi >= least - r) & (lo <= most + r)).select("rid", "fp", "n", "score", "d0", "root")
 
 
 def _needed_sets(docs: DataFrame, k: int, bloom: bytes) -> DataFrame:
@@ -309,33 +265,38 @@ def _needed_sets(docs: DataFrame, k: int, bloom: bytes) -> DataFrame:
             seen = np.concatenate([seen, fp[first]])
             keep = np.flatnonzero(first)
             if len(keep):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(fp[keep])), blobs(h[np.repeat(first, n)], np.concatenate([[0], np.cumsum(n[keep])]))], names=["fp", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(fp[keep])), _narrow(h[np.repeat(first, n)], np.concatenate([[0], np.cumsum(n[keep])]))], names=["fp", "hashes"])
 
     return docs.select("doc_id", "text").mapInArrow(emit, "fp long, hashes binary").groupBy("fp").agg(F.first("hashes").alias("hashes"))
 
 
-def jaccard_links(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 3, den: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(points, links): points has doc_id, n_shingles and fp (equal sets, equal fp; 0 for none) of each document.
+def jaccard_links(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 3, den: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points, links, roots): points has doc_id, n_shingles and fp (equal sets, equal fp; 0 for none) of each document.
 
     links (a, b, both, total) has links between different fps, enough to join exactly
-    those documents that links of similarity num/den or more join.
+    those documents that links of similarity num/den or more join; roots (node, root)
+    their components.
     """
     points, classes = _points(docs, k, scratch)
-    regions = scratch.save(_regions(docs, k, num, den, classes))
-    sets = scratch.save(_needed_sets(docs, k, Bloom.build(_fps(regions), "fp")))
-    links, m = [], 1
-    while not regions.isEmpty():
-        chosen = scratch.save(_pivots(regions, m))
-        measured = scratch.save(_measure(_pairs(chosen, num, den), sets))
-        links.append(measured.where(den * F.col("both") >= num * F.col("total")))
-        later = scratch.save(_next(chosen, measured, num, den))
-        scratch.drop(regions, chosen)
-        regions, m = later, m * 4
-    scratch.drop(regions, sets)
-    out = None
-    for x in links:
-        out = x if out is None else out.unionByName(x)
-    return points, out if out is not None else docs.sparkSession.createDataFrame([], "a long, b long, both long, total long")
+    members = scratch.save(_regions(docs, k, num, den, classes))
+    sets = scratch.save(_needed_sets(docs, k, Bloom.build(members, "fp")))
+    members = members.withColumn("d0", F.lit(None).cast("double")).withColumn("root", F.col("fp"))
+    links, roots, m = None, None, 1
+    while True:
+        pairs = _pairs(members, m, num, den)
+        measured = scratch.save(_measure(_distinct(pairs, num, den), sets))
+        near = measured.where(den * F.col("both") >= num * F.col("total"))
+        links = near if links is None else links.unionByName(near)
+        roots = components(links.select("a", "b"), scratch)
+        if m == 1:
+            far = measured.select("a", "b", (1 - F.col("both") / F.col("total")).alias("d0"))
+            left = pairs.where("fp <> pivot").withColumn("a", F.least("fp", "pivot")).withColumn("b", F.greatest("fp", "pivot"))
+            left = left.join(members.select("rid", "fp", "score"), ["rid", "fp"]).join(far, ["a", "b"], "left").select("rid", "fp", "n", "score", "d0")
+        else:
+            left = members.join(pairs.select("rid", F.col("pivot").alias("fp")).distinct(), ["rid", "fp"], "left_anti").select("rid", "fp", "n", "score", "d0")
+        members, m = scratch.save(_open(left, roots, num, den)), m * 4
+        if members.isEmpty():
+            return points, links, roots
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4) -> DataFrame:
@@ -348,8 +309,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4)
     (alone, their component_id is null). Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    points, links = jaccard_links(docs, scratch, k, num, den)
-    roots = components(links.select("a", "b"), scratch)
+    points, _, roots = jaccard_links(docs, scratch, k, num, den)
     named = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "fp")))
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
