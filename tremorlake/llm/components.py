@@ -36,4 +36,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         old += [edges, least]
         edges = new
     scratch.drop(*old)
-    return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if roots is None:
+        roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        roots._scratch = edges._scratch
+    return roots

@@ -62,12 +62,21 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
         return out
 
+    def _delete(self, where: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *saved: DataFrame) -> None:
         """Removes saved tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for df in saved:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._scratch)
+
+    def keep_only(self, *saved: DataFrame) -> None:
+        """Removes all tables but these (or those that these, marked with _scratch, read)."""
+        kept = {df._scratch for df in saved}
+        for i in range(self.n):
+            if f"{self.root}/{i}" not in kept:
+                self._delete(f"{self.root}/{i}")
 
 
 def deal(df: DataFrame, n: int, by: str = "bucket") -> DataFrame:

@@ -8,7 +8,7 @@ are then joined recursively. A pivot (the member with the smallest share of rare
 shingles, which copies stand around) is compared with all members; members that its ball
 of radius r or any other region joins are one component, whose inner pairs need no look.
 Of what is left in a region, a member goes on only where the triangle inequality lets it
-link to a member of another component (d(z, p) within r of d(x, p)); with 4**k pivots in
+link to a member of another component (d(z, p) within r of d(x, p)); with 16**k pivots in
 round k, which leave the region once compared, rounds stay few. So a group of g copies
 takes g comparisons, not g squared, and no link that joins components is missed. Equal
 sets are one point.
@@ -82,14 +82,16 @@ def _points(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, bytes
     classes = np.zeros((PARTS_OF_SKETCH, width), dtype=np.uint8)
     for r in deal(cells, n, "to").select("slice", "cells").mapInArrow(merge, "slice int, classes binary").collect():  # CELLS bytes in all
         classes[r["slice"]] = np.frombuffer(r["classes"], dtype=np.uint8)
-    return both.where("slice is null").select("doc_id", "n_shingles", "fp"), classes.tobytes()
+    points = both.where("slice is null").select("doc_id", "n_shingles", "fp")
+    points._scratch = both._scratch
+    return points, classes.tobytes()
 
 
 def _regions(docs: DataFrame, k: int, num: int, den: int, classes: bytes) -> DataFrame:
-    """(rid, fp, n, score): members of each region; regions with the same members are one; score: the share of rarer shingles."""
+    """(rid, fp, n, place): members of each region, and the place of its shingle in their order; regions with the same members are one."""
     spark, n_parts = docs.sparkSession, parts(docs.sparkSession)
     shared = spark.sparkContext.broadcast(classes)  # CELLS bytes
-    posting = np.dtype([("h", "<u8"), ("fp", "<u8"), ("n", "<i4"), ("hot", "<u2"), ("score", "<u2")])
+    posting = np.dtype([("h", "<u8"), ("fp", "<u8"), ("n", "<i4"), ("place", "<i4"), ("hot", "<u2")])
 
     def salts(p):
         return np.where(p["hot"] > 0, (p["fp"] >> U64(17)) % np.maximum(p["hot"], 1).astype(np.uint64) + U64(1), U64(0))
@@ -118,7 +120,7 @@ def _regions(docs: DataFrame, k: int, num: int, den: int, classes: bytes) -> Dat
             p["h"], p["fp"], p["n"] = h[at], fp[of[at]], n[of[at]]
             count = np.exp2(cls[at] / 4.0)
             p["hot"] = np.where(count >= PIECE, np.minimum(np.ceil(count / PIECE), 65535), 0)
-            p["score"] = place[take] * 65535 // n[of[at]]
+            p["place"] = place[take]
             held.append(p)
             size += len(p)
             if size >= FLUSH:
@@ -146,7 +148,9 @@ def _regions(docs: DataFrame, k: int, num: int, den: int, classes: bytes) -> Dat
         rid = mix(rid + hot.astype(np.uint64))
         want = hot | (size >= 2)
         start, size, hot, rid, salt = start[want], size[want], hot[want], rid[want], salt[start[want]]
-        _, one = np.unique(np.where(hot, mix(rid + salt), rid), return_index=True)
+        # of regions with the same members, the one whose shingle comes first in all of them
+        key, at = np.where(hot, mix(rid + salt), rid), np.lexsort((p["place"][start], np.where(hot, mix(rid + salt), rid)))
+        one = at[np.append(True, key[at][1:] != key[at][:-1])] if len(at) else at
         member = np.zeros(len(p), dtype=MEMBER)
         for c in MEMBER.names:
             member[c] = p[c]
@@ -154,47 +158,92 @@ def _regions(docs: DataFrame, k: int, num: int, den: int, classes: bytes) -> Dat
         for b in np.unique(to[one]):
             mine = one[to[one] == b]
             rows = np.concatenate([member[s : s + m] for s, m in zip(start[mine], size[mine], strict=True)])
-            head = np.zeros(len(mine), dtype=[("rid", "<u8"), ("piece", "<i4"), ("size", "<i4")])
+            head = np.zeros(len(mine), dtype=HEAD)
             head["rid"], head["piece"], head["size"] = rid[mine], np.where(hot[mine], salt[mine].astype(np.int64), 0), size[mine]
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), binary([head]), binary([rows])], names=["bucket", "heads", "members"])
 
     def unique(batches):
-        seen: set = set()
+        out = []
+
+        def flush():
+            rows = np.concatenate([r for _, r in out])
+            rid = np.repeat(np.array([r for r, _ in out], dtype=np.uint64), [len(r) for _, r in out])
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(signed(rid)), pa.array(signed(rows["fp"].copy())), pa.array(rows["n"].copy()), pa.array(rows["place"].copy())], names=["rid", "fp", "n", "place"])
+
+        heads, members = [], []
         for batch in batches:
-            for heads, members in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                at, keep = 0, []
-                head = np.frombuffer(heads, dtype=[("rid", "<u8"), ("piece", "<i4"), ("size", "<i4")])
-                for r in head:
-                    key = (int(r["rid"]), int(r["piece"]))
-                    keep.append(key not in seen)
-                    seen.add(key)
-                    at += int(r["size"])
-                rows = np.frombuffer(members, dtype=MEMBER)[np.repeat(keep, head["size"])]
-                if len(rows):
-                    rid = np.repeat(head["rid"][keep], head["size"][keep])
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(rid)), pa.array(signed(rows["fp"].copy())), pa.array(rows["n"].copy()), pa.array(rows["score"].astype(np.int32))], names=["rid", "fp", "n", "score"])
+            heads += batch.column(1).to_pylist()
+            members += batch.column(2).to_pylist()
+        head, member = together(heads, HEAD), together(members, MEMBER)
+        if not len(head):
+            return
+        start = np.cumsum(head["size"]) - head["size"]
+        order = np.lexsort((member["place"][start], head["piece"], head["rid"]))
+        key = head[order][["rid", "piece"]]
+        for i in order[np.append(True, key[1:] != key[:-1])]:
+            rows = member[start[i] : start[i] + head["size"][i]]
+            if not head["piece"][i]:
+                rows = rows[_feasible(rows, num, den)]
+            if len(rows):
+                out.append((head["rid"][i], rows))
+            if sum(len(r) for _, r in out) >= 20_000:
+                yield flush()
+        if out:
+            yield flush()
 
     postings = docs.select("doc_id", "text").mapInArrow(emit, "bucket int, postings binary")
     met = deal(postings, n_parts).mapInArrow(meet, "bucket int, heads binary, members binary")
-    return deal(met, n_parts).mapInArrow(unique, "rid long, fp long, n int, score int")
+    return deal(met, n_parts).mapInArrow(unique, "rid long, fp long, n int, place int")
+
 
+MEMBER = np.dtype([("fp", "<u8"), ("n", "<i4"), ("place", "<i4")])
+HEAD = np.dtype([("rid", "<u8"), ("piece", "<i4"), ("size", "<i4")])
 
-MEMBER = np.dtype([("fp", "<u8"), ("n", "<i4"), ("score", "<u2")])
 
+def _slack(n, place, num: int, den: int):
+    """Three times (num) the largest partner that a member can have: a link needs num (n + m) / (num + den) shared shingles, and from the region's shingle on only n - place are left."""
+    return (num + den) * (n - place) - num * n
 
-def _pairs(members: DataFrame, m: int, num: int, den: int) -> DataFrame:
-    """(rid, fp, pivot) rows of each region's m pivots with members of other components whose sizes allow a link."""
+
+def _feasible(rows: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Members that sizes and places allow a link with another one: num m <= slack(x) and num n <= slack(y)."""
+    n, slack = rows["n"].astype(np.int64), _slack(rows["n"].astype(np.int64), rows["place"].astype(np.int64), num, den)
+    order = np.argsort(n, kind="stable")
+    # the two largest slacks among the smallest members
+    top = np.full((2, len(rows) + 1), -1, dtype=np.int64)
+    owner = np.full(len(rows) + 1, -1, dtype=np.int64)
+    for i, j in enumerate(order):
+        best, second, who = top[0, i], top[1, i], owner[i]
+        if slack[j] > best:
+            best, second, who = slack[j], best, j
+        else:
+            second = max(second, slack[j])
+        top[0, i + 1], top[1, i + 1], owner[i + 1] = best, second, who
+    reach = np.searchsorted(n[order], slack // num, side="right")
+    other = np.where(owner[reach] == np.arange(len(rows)), top[1, reach], top[0, reach])
+    return other >= num * n
+
+
+def _pairs(members: DataFrame, m: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(rid, fp, pivot) rows of each region's m pivots with members of other components that sizes and places allow a link.
+
+    A pair is left out of a region where its shingle cannot be the first one they share;
+    the region of the first one has it.
+    """
+    own = members.withColumn("slack", _slack(F.col("n"), F.col("place"), num, den))
     if m == 1:
-        pivots = members.groupBy("rid").agg(F.min(F.struct("score", "fp", "n", "root")).alias("p")).select("rid", F.col("p.fp").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.root").alias("proot"))
+        score = F.struct((F.col("place") / F.col("n")).alias("s"), "fp", "n", "root", "slack")
+        pivots = own.groupBy("rid").agg(F.min(score).alias("p")).select("rid", F.col("p.fp").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.root").alias("proot"), F.col("p.slack").alias("pslack"))
     else:
-        rank = F.row_number().over(Window.partitionBy("rid").orderBy("score", "fp"))
-        pivots = members.select("rid", F.col("fp").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"), rank.alias("rk"), "score", "fp").where(F.col("rk") <= m).select("rid", "pivot", "pn", "proot")
-    return members.join(pivots, "rid").select("rid", "fp", "pivot", "n", "pn", "root", "proot")
+        rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.col("place") / F.col("n"), "fp"))
+        pivots = own.withColumn("rk", rank).where(F.col("rk") <= m).select("rid", F.col("fp").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"), F.col("slack").alias("pslack"))
+    allowed = (F.col("root") != F.col("proot")) & (den * F.least("n", "pn") >= num * F.greatest("n", "pn")) & (num * F.col("pn") <= F.col("slack")) & (num * F.col("n") <= F.col("pslack"))
+    return pivots, own.alias("x").join(pivots.alias("p"), (F.col("x.rid") == F.col("p.rid")) & allowed).select("x.rid", "fp", "pivot")
 
 
-def _distinct(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    allowed = (F.col("root") != F.col("proot")) & (den * F.least("n", "pn") >= num * F.greatest("n", "pn"))
-    return pairs.where(allowed).select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")).distinct()
+def _distinct(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")).distinct()
 
 
 #: Bytes of a hash in a set that is sent: 48 bits, so a pair of sets of 300 is misjudged with probability below 1e-9.
@@ -234,12 +283,12 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Members (rid, fp, n, score, d0) with their component now, but for those that the triangle inequality rules out.
+    """Members (rid, fp, n, place, d0) with their component now, but for those that the triangle inequality rules out.
 
     d0: distance to the region's first pivot (null: not known). A member stays where some
     member of another component is within r of its own distance.
     """
-    own = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("rid", "fp", "n", "score", "d0", F.coalesce("root", "fp").alias("root"))
+    own = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("rid", "fp", "n", "place", "d0", F.coalesce("root", "fp").alias("root"))
     lo, hi = F.coalesce("d0", F.lit(0.0)), F.coalesce("d0", F.lit(1.0))
     groups = own.groupBy("rid", "root").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))
     edge = groups.groupBy("rid").agg(F.min(F.struct("lo", "root")).alias("least"), F.max(F.struct("hi", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
@@ -249,7 +298,7 @@ def _open(members: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame
     least = F.when(F.col("root") == F.col("least.root"), F.col("lo2")).otherwise(F.col("least.lo"))
     most = F.when(F.col("root") == F.col("most.root"), F.col("hi2")).otherwise(F.col("most.hi"))
     r = 1 - num / den + 1e-9
-    return own.join(both, "rid").where((hi >= least - r) & (lo <= most + r)).select("rid", "fp", "n", "score", "d0", "root")
+    return own.join(both, "rid").where((hi >= least - r) & (lo <= most + r)).select("rid", "fp", "n", "place", "d0", "root")
 
 
 def _needed_sets(docs: DataFrame, k: int, bloom: bytes) -> DataFrame:
@@ -283,18 +332,18 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 3, d
     members = members.withColumn("d0", F.lit(None).cast("double")).withColumn("root", F.col("fp"))
     links, roots, m = None, None, 1
     while True:
-        pairs = _pairs(members, m, num, den)
-        measured = scratch.save(_measure(_distinct(pairs, num, den), sets))
+        pivots, pairs = _pairs(members, m, num, den)
+        measured = scratch.save(_measure(_distinct(pairs), sets))
         near = measured.where(den * F.col("both") >= num * F.col("total"))
         links = near if links is None else links.unionByName(near)
         roots = components(links.select("a", "b"), scratch)
+        rest = members.join(pivots.select("rid", F.col("pivot").alias("fp")), ["rid", "fp"], "left_anti")
         if m == 1:
             far = measured.select("a", "b", (1 - F.col("both") / F.col("total")).alias("d0"))
-            left = pairs.where("fp <> pivot").withColumn("a", F.least("fp", "pivot")).withColumn("b", F.greatest("fp", "pivot"))
-            left = left.join(members.select("rid", "fp", "score"), ["rid", "fp"]).join(far, ["a", "b"], "left").select("rid", "fp", "n", "score", "d0")
-        else:
-            left = members.join(pairs.select("rid", F.col("pivot").alias("fp")).distinct(), ["rid", "fp"], "left_anti").select("rid", "fp", "n", "score", "d0")
-        members, m = scratch.save(_open(left, roots, num, den)), m * 4
+            near_pivot = pairs.withColumn("a", F.least("fp", "pivot")).withColumn("b", F.greatest("fp", "pivot")).join(far, ["a", "b"]).select("rid", "fp", "d0")
+            rest = rest.drop("d0").join(near_pivot, ["rid", "fp"], "left")
+        left = rest.select("rid", "fp", "n", "place", "d0")
+        members, m = scratch.save(_open(left, roots, num, den)), m * 16
         if members.isEmpty():
             return points, links, roots
 
@@ -310,6 +359,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4)
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     points, _, roots = jaccard_links(docs, scratch, k, num, den)
+    scratch.keep_only(points, roots)
     named = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "fp")))
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
