@@ -35,6 +35,8 @@ PARTS_OF_SKETCH = 64
 PIECE = 4096
 #: Shingles that a map task gathers before it sends them.
 FLUSH = 1 << 18
+#: Pairs of a round up to which the ids of their sets are broadcast (16 bytes a pair), so that other sets are not shuffled.
+FEW = 50_000
 
 
 def _sets(batches, column, k):
@@ -333,7 +335,12 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 3, d
     links, roots, m = None, None, 1
     while True:
         pivots, pairs = _pairs(members, m, num, den)
-        measured = scratch.save(_measure(_distinct(pairs), sets))
+        wanted = scratch.save(_distinct(pairs))
+        own = sets
+        if wanted.count() <= FEW:
+            ids = wanted.select(F.col("a").alias("fp")).union(wanted.select("b")).distinct()
+            own = sets.join(F.broadcast(ids), "fp", "left_semi")
+        measured = scratch.save(_measure(wanted, own))
         near = measured.where(den * F.col("both") >= num * F.col("total"))
         links = near if links is None else links.unionByName(near)
         roots = components(links.select("a", "b"), scratch)
