@@ -56,3 +56,17 @@ def test_empty_tables_and_native_plan(spark):
     df = leaks(docs, bench)
     assert [tuple(r)[:2] for r in df.collect()] == [(1, 1)]
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_items_at_every_place(spark):
+    words = "seven short words stand in this item then come three more".split()
+    sizes = (1, 2, 5, 6, 7, 8, 9, 10, 11)
+    bench = spark.createDataFrame([(n, " ".join(words[:n]) + "\n") for n in sizes] + [(99, " - ")], "item_id long, text string")
+    rnd = random.Random(3)
+    docs = [(n * 10 + k, filler(rnd, 12 + k) + " " + " ".join(words[:n]) + " " + filler(rnd, 12)) for n in sizes for k in range(3)]
+    # nine words of a longer item, and all but the last word of a short one
+    long = spark.createDataFrame([(1, ITEMS[1][1])], "item_id long, text string")
+    part = [(k, filler(rnd, 12 + k) + " " + " ".join(ITEMS[1][1].split()[2:11]) + " " + filler(rnd, 12)) for k in range(3)]
+    got = {tuple(r)[:2] for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(m * 10 + k, n) for m in sizes for n in sizes for k in range(3) if min(n, 9) <= m}
+    assert {r["doc_id"] for r in leaks(spark.createDataFrame(part, "doc_id long, text string"), long).collect()} == {0, 1, 2}

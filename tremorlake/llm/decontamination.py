@@ -2,9 +2,8 @@
 
 Words become template words: names (capitalised inside a sentence), numbers and units
 after a number give way to typed placeholders, all else is lower-cased without
-punctuation. Windows of template words are hashed; benchmark windows stand at every word,
-document windows at every `stride`-th one, so any common run of window + stride - 1
-template words meets. Windows that meet on one diagonal (document place minus item place)
+punctuation. Windows of template words are hashed; they stand at every word of benchmark
+and documents, so any common run of `window` template words meets. Windows that meet on one diagonal (document place minus item place)
 are one alignment; it counts when its windows cover `least` words and its slots are
 consistent: the words behind placeholders map one to one between item and document. So a
 question with other numbers or names is caught, and chance meetings are not.
@@ -20,7 +19,7 @@ UNITS = "mm cm m km in ft yd mi mg g kg lb lbs oz t ml cl l gal s sec ms min h h
 NUMBER, NAME, UNIT = "#", "@", "%"
 #: Benchmark windows up to which they are broadcast: 32 bytes each, so 32 MB at most.
 BROADCAST_WINDOWS = 1 << 20
-WINDOW, STRIDE, LEAST = 6, 3, 9
+WINDOW, LEAST = 6, 9
 
 
 def _canonical(text: Column) -> Column:
@@ -44,49 +43,51 @@ def _template(df: DataFrame) -> DataFrame:
     return df.select("*", _words(F.col("t")).alias("raw"), _words(F.regexp_replace(_canonical(F.col("t")), r"[^\p{L}\p{N}\p{M}#@%\s]+", "")).alias("tpl0")).withColumn("tpl", F.when(F.size("tpl0") == F.size("raw"), F.col("tpl0")).otherwise(F.transform("raw", lambda w: strip(F.lower(w))))).drop("tpl0")
 
 
-def _windows(df: DataFrame, window: int, stride: int) -> DataFrame:
-    """One row for each window: the other columns, at (its first word), h, slots (raw words of placeholders, null without any)."""
+def _windows(df: DataFrame, widths: list[int]) -> DataFrame:
+    """One row for each window of each width, at every word: the other columns, at (its first word), own_width, h, slots (raw words of placeholders, null without any)."""
 
-    def one(at):
-        part = F.slice("tpl", at + 1, window)
-        text = F.array_join(part, " ")
-        has = text.contains(NUMBER) | text.contains(NAME) | text.contains(UNIT)
-        held = F.filter(F.arrays_zip(part.alias("t"), F.slice("raw", at + 1, window).alias("r")), lambda x: x["t"].isin(NUMBER, NAME, UNIT))
-        return F.struct(at.alias("at"), F.xxhash64(text).alias("h"), F.when(has, F.transform(held, lambda x: x["r"])).alias("slots"))
+    def every(width):
+        def one(at):
+            part = F.slice("tpl", at + 1, width)
+            holder = lambda w: w.isin(NUMBER, NAME, UNIT)
+            held = F.filter(F.arrays_zip(part.alias("t"), F.slice("raw", at + 1, width).alias("r")), lambda x: holder(x["t"]))
+            return F.struct(at.alias("at"), F.lit(width).alias("own_width"), F.xxhash64(F.lit(width), part).alias("h"), F.when(F.exists(part, holder), F.transform(held, lambda x: x["r"])).alias("slots"))
+
+        return F.transform(F.when(F.size("tpl") >= width, F.sequence(F.lit(0), F.size("tpl") - width)).otherwise(F.array().cast("array<int>")), one)
 
-    places = F.when(F.size("tpl") >= window, F.sequence(F.lit(0), F.size("tpl") - window, F.lit(stride))).otherwise(F.array().cast("array<int>"))
     keep = [c for c in df.columns if c not in ("t", "raw", "tpl")]
-    return df.select(*keep, F.explode(F.transform(places, one)).alias("w")).select(*keep, "w.*")
+    return df.select(*keep, F.explode(F.concat(*map(every, widths)) if len(widths) > 1 else every(widths[0])).alias("w")).select(*keep, "w.*")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE, least: int = LEAST) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, n_words, n_slots): items of benchmark (item_id, text) that a document holds, possibly with other names, numbers or units.
 
     n_words: words of the item that matching windows of its best alignment cover; n_slots:
-    placeholders checked there. Items of fewer than `least` words count when covered whole
-    (from `window` words on). Null and empty texts, null ids hold nothing; repeated rows
-    count once; other columns are ignored.
+    placeholders checked there. Items of fewer than `least` words count when covered whole,
+    those of fewer than `window` by a window of their own length; white space around an
+    item is no part of it. Items without words, null and empty texts, null ids hold
+    nothing; repeated rows count once; other columns are ignored.
     """
-    items = benchmark.where("item_id is not null").select("item_id", F.coalesce("text", F.lit("")).alias("t"))
-    items = _template(items).withColumn("size", F.size("tpl"))
-    item_windows = _windows(items, window, 1).select("item_id", "size", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
+    items = benchmark.where("item_id is not null").select("item_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "").alias("t"))
+    items = _template(items).where(F.exists("tpl", lambda w: w != "")).withColumn("size", F.size("tpl")).withColumn("width", F.least("size", F.lit(window)))
+    widths = sorted({window, *(r["width"] for r in items.select("width").distinct().collect())})  # `window` values at most
+    item_windows = _windows(items, widths).where("own_width = width").select("item_id", "size", "width", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
     own = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    # one alignment must meet at every stride-th word, whatever its place: document windows stand at multiples of stride
-    doc_windows = _windows(_template(own), window, stride)
+    doc_windows = _windows(_template(own), widths)
     few = item_windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     met = doc_windows.join(F.broadcast(item_windows) if few else item_windows, "h")
     pattern = lambda a: F.transform(a, lambda x: F.array_position(a, x))
     alike = F.col("slots").isNull() | (pattern(F.col("slots")) == pattern(F.col("item_slots")))
-    met = met.where(alike).select("doc_id", "item_id", "size", "at", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "slots", "item_slots")
-    lines = met.groupBy("doc_id", "item_id", "size", "diagonal").agg(
+    met = met.where(alike).select("doc_id", "item_id", "size", "width", "at", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "slots", "item_slots")
+    lines = met.groupBy("doc_id", "item_id", "size", "width", "diagonal").agg(
         F.sort_array(F.collect_set("item_at")).alias("places"),
         F.collect_set(F.struct("slots", "item_slots")).alias("pairs"),
     )
     # words covered: windows overlap where they stand less than a window apart
-    spread = F.aggregate(F.col("places"), F.struct(F.lit(-window).alias("last"), F.lit(0).alias("n")), lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(window), p - s["last"])).alias("n")), lambda s: s["n"])
+    spread = F.aggregate(F.col("places"), F.struct((-F.col("width")).alias("last"), F.lit(0).alias("n")), lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.col("width"), p - s["last"])).alias("n")), lambda s: s["n"])
     slot = F.array_distinct(F.flatten(F.transform(F.filter("pairs", lambda p: p["slots"].isNotNull()), lambda p: F.arrays_zip(p["slots"].alias("d"), p["item_slots"].alias("i")))))
     judged = lines.select("doc_id", "item_id", "size", spread.alias("n_words"), slot.alias("slot")).withColumn("n_slots", F.size("slot"))
     one_to_one = (F.size(F.array_distinct(F.transform("slot", lambda x: x["d"]))) == F.col("n_slots")) & (F.size(F.array_distinct(F.transform("slot", lambda x: x["i"]))) == F.col("n_slots"))
-    good = judged.where(one_to_one & ((F.col("n_words") >= least) | (F.col("n_words") >= F.col("size") - stride + 1) & (F.col("size") < least + stride)))
+    good = judged.where(one_to_one & (F.col("n_words") >= F.least("size", F.lit(least))))
     best = F.max(F.struct(F.col("n_words").cast("long").alias("n_words"), F.col("n_slots").cast("long").alias("n_slots")))
     return good.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_words", "b.n_slots")
