@@ -47,6 +47,15 @@ def test_encoders_agree():
         assert encoder(FAST)(t).tolist() == slow.encode(t, add_special_tokens=False).ids == encoder(P.path("byte_bpe_50k.json"))(t).tolist()
 
 
+def test_long_white_space(spark):
+    text = "a" + " " * 1_000_001 + "b"
+    want = [*Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, 2]
+    got = pack(spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string"), FAST).where("doc_id = 1").orderBy("piece").collect()
+    assert sum(r["length"] for r in got) == len(want)
+    for r in got:
+        assert zlib.crc32(np.array(want[r["start"] : r["start"] + r["length"]], dtype="<u4").tobytes()) == r["ids_crc32"]
+
+
 def test_pack(spark):
     rnd = random.Random(4)
     rows = [(i, " ".join(rnd.choice(["the", "ofx", "é", "12", "\n"]) for _ in range(rnd.choice([0, 1, 30, 400, 3000])))) for i in range(80)]

@@ -33,14 +33,21 @@ REMEMBERED = 100_000
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """Text -> uint32 ids, as tokenizers gives them for the vocabulary in path (a tokenizers file, or the same vocabulary as ranks, which is faster)."""
+    """Text -> uint32 ids, as tokenizers gives them for the vocabulary in path (a tokenizers file, or the same vocabulary as ranks, which is faster; texts that tiktoken refuses go by the tokenizers file beside it)."""
     if path.endswith(".tiktoken"):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={END_TEXT[0]: END_TEXT[1]})
-        return lambda text: own.encode_to_numpy(text, allowed_special="all")
+
+        def encode(text):
+            try:
+                return own.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # the pattern's stack ends at a million white-space characters in a row
+                return encoder(path.removesuffix(".tiktoken") + ".json")(text)
+
+        return encode
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
