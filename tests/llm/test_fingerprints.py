@@ -49,3 +49,14 @@ def test_near_duplicates(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = dict(map(tuple, near_duplicates(df).collect()))
     assert got == {i: (i // 10 * 10 if i < 900 else i) for i, _ in rows}
+
+
+def test_near_duplicates_with_a_common_passage(spark):
+    rnd = random.Random(12)
+    own = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    passage, rows = own(150), []
+    for i in range(60):  # pairs of similarity 0.81; strangers 0.72
+        both = own(10)
+        rows += [(2 * i + j, " ".join(passage + both + own(18))) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert dict(map(tuple, near_duplicates(df).collect())) == {i: i // 2 * 2 for i, _ in rows}

@@ -167,8 +167,10 @@ def edited_fingerprints(docs: DataFrame, k: int = 5, permutations: int = 128) ->
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, permutations: int = 128, bands: int = 32) -> DataFrame:
     """(doc_id, class_id): documents joined by verified links of Jaccard similarity num/den or more among band candidates.
 
-    A band key is met by way of its least document, so a group of g copies gives g
-    candidates a band, not g squared; equal signatures are joined without candidates.
+    A band key is met by way of its least document first, so a group of g copies gives g
+    candidates a band, not g squared; then members of a key that are not joined yet are
+    compared with each other where their sizes allow a link, so strangers that share a
+    band cost the square of their number. Equal sets are joined without candidates.
     With 32 bands of 4 rows a pair of similarity 0.75 meets with probability above
     0.999. Texts without words are classes of their own; class_id is the smallest doc_id.
     """
@@ -194,7 +196,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, per
     one = scratch.save(every.where("n > 0").groupBy("fp").agg(F.first("keys").alias("keys"), F.first("hashes").alias("hashes")))
     meet = one.select("fp", F.explode("keys").alias("key"))
     least = meet.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
-    pairs = meet.join(least, "key").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     sets = one.select("fp", "hashes")
 
     def verify(batches):
@@ -208,8 +209,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, per
                 keep.append(den * both >= num * (len(u) + len(v) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    roots = components(links, scratch)
+    def verified(pairs):
+        return pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+    first = scratch.save(verified(meet.join(least, "key").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()))
+    # a member may be linked with another one and not with the least: what the first links leave apart in a key is compared
+    joined = components(first, scratch).withColumnRenamed("node", "fp")
+    member = scratch.save(meet.join(joined, "fp", "left").join(one.select("fp", (F.length("hashes") / 8).cast("long").alias("m")), "fp").select("key", "fp", F.coalesce("root", "fp").alias("root"), "m"))
+    apart = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    side = lambda c: member.join(apart, "key").select("key", F.col("fp").alias(c), F.col("root").alias(f"r{c}"), F.col("m").alias(f"m{c}"))
+    sized = F.least("ma", "mb") * den >= F.greatest("ma", "mb") * num
+    rest = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sized).select("a", "b").distinct()
+    roots = components(first.unionByName(scratch.save(verified(rest))), scratch)
     named = every.select("doc_id", "fp", "n").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "fp")))
     class_id = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(class_id, "root", "left").select("doc_id", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("class_id"))
