@@ -138,3 +138,23 @@ def test_correlation_shift(spark):
         assert got[(1, 1, ph)]["dt"] == pytest.approx(0, abs=1e-9) and got[(1, 1, ph)]["cc"] == pytest.approx(1)
     x = np.random.default_rng(2).normal(size=(1, 300))
     assert differential_time(x, x[:, 50:200], 3, 3, 0.5, RATE, True)[0] == pytest.approx(-0.01)
+
+
+def test_location_query_tries_all_depths(monkeypatch):
+    import inspect
+    from types import SimpleNamespace
+
+    from tremorlake.plans import kernel_queries as K
+
+    form, asked = inspect.signature(K.location.locate), []
+
+    def locate(*args, **named):
+        bound = form.bind(*args, **named)
+        bound.apply_defaults()
+        asked.append(bound.arguments["depths"])
+        return SimpleNamespace(select=lambda *c: c)
+
+    monkeypatch.setattr(K.location, "locate", locate)
+    monkeypatch.setattr(K, "A", SimpleNamespace(phases=lambda s, d: None, stations=lambda s, d: None))
+    K.absolute_location(None, "")
+    assert asked == [tuple(range(20))]
