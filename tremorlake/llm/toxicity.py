@@ -5,10 +5,13 @@ weights w; x has the log counts of selected words. The output is the expected se
 the sum over grades of P(grade >= j).
 
 Labels give toxic 0 or 1; grades 1 to 3 of toxic documents are thirds of the count of
-indicator words (log-odds over toxic and other labelled documents above INDICATOR). The
-classifier is fitted on at most `sample` labelled documents, those with the least hash of
-their doc_id; features are words that `min_df` toxic ones of them hold, the `features`
-best by chi-square, MIN_CHI at least. All documents are scored, whole.
+indicator words, which for each half of the documents are found on the other half
+(log-odds over toxic and other documents above INDICATOR), so a document's own words do
+not decide which words count. The classifier is fitted on at most `sample` labelled
+documents, those with the least hash of their doc_id. Words are counted and chosen in
+Spark (`min_df` toxic documents, chi-square MIN_CHI, the `features` best); the counts of
+the chosen ones go to one task, which fits, so the driver sees features and weights
+alone. All documents are scored, whole.
 """
 
 from __future__ import annotations
@@ -18,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import prepare
+from .exchange import prepare, signed
 from .textkernel import NOT_ALNUM, Words, slices
 
 GRADES = 4
 INDICATOR = 3.0
 #: Chi-square below which a word is no feature.
 MIN_CHI = 12.0
-PAIRS = np.dtype([("h", "<u8"), ("n", "<i4")])
+PAIRS = np.dtype([("f", "<i4"), ("n", "<i4")])
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -89,65 +92,97 @@ def _counts(words: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key // len(known), key % len(known), np.log1p(n)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 4096, min_df: int = 5) -> Ordinal:
+def _distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, word hash) of the distinct words of each text, sorted."""
+    w = Words(data, offsets, lower=True, separators=NOT_ALNUM)
+    of = w.text_of_word()
+    order = np.lexsort((w.hashes, of))
+    h, of = w.hashes[order], of[order]
+    first = np.ones(len(h), dtype=bool)
+    first[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    return of[first], h[first]
+
+
+#: Classes of a sampled document: twice the half it is in, and one more where it is toxic.
+CLASSES = 4
+
+
+def _train(rows: list, table: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) from rows (class, counts of features); table: documents of each class that hold a feature."""
+    cls = np.array([r[0] for r in rows])
+    a = np.frombuffer(b"".join(r[1] for r in rows), dtype=PAIRS)
+    row = np.repeat(np.arange(len(rows)), [len(r[1]) // PAIRS.itemsize for r in rows])
+    col, times = a["f"].astype(np.int64), a["n"].astype(float)
+    grade, toxic = np.zeros(len(rows), dtype=np.int64), cls % 2 == 1
+    dose = np.zeros(len(rows))
+    for half in (0, 1):
+        neg, pos = (totals[2 * (1 - half) + i] for i in (0, 1))
+        in_neg, in_pos = (table[:, 2 * (1 - half) + i] for i in (0, 1))
+        odds = np.log((in_pos + 0.5) / (pos - in_pos + 0.5)) - np.log((in_neg + 0.5) / (neg - in_neg + 0.5))
+        mine = cls[row] // 2 == half
+        dose += np.bincount(row[mine], times[mine] * (odds[col[mine]] > INDICATOR), minlength=len(rows))
+    if toxic.any():
+        cuts = np.quantile(dose[toxic], [1 / 3, 2 / 3])
+        grade[toxic] = 1 + (dose[toxic, None] > cuts[None, :]).sum(axis=1)
+    return fit_ordinal(Sparse(row, col, np.log1p(times), (len(rows), len(table))), grade, GRADES)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 4096, min_df: int = 3) -> Ordinal:
     """Fits on at most `sample` labelled documents; null labels and doc_ids are left out."""
     prepare(docs.sparkSession)
     chosen = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
+    cls = 2 * F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) + F.when(F.col("toxic") > 0, 1).otherwise(0)
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", cls.cast("int").alias("cls"))), "doc_id")  # `sample` rows at most
 
     def distinct(batches):
-        held = []
-        for _, data, offsets in slices(batches, "text"):
-            w = Words(data, offsets, lower=True, separators=NOT_ALNUM)
-            of = w.text_of_word()
-            order = np.lexsort((w.hashes, of))
-            h, of = w.hashes[order], of[order]
-            first = np.ones(len(h), dtype=bool)
-            first[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-            held.append(h[first])
-        if held:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    df = own.where("toxic = 1").select("doc_id", "text").mapInArrow(distinct, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = df.where(F.col("n") >= min_df).orderBy(F.desc("n"), "h").limit(8 * features).collect()  # bounded by `features`
-    known = np.sort(np.array([r["h"] for r in top], dtype=np.int64).view(np.uint64))
+        held = [[] for _ in range(CLASSES)]
+        for part, data, offsets in slices(batches, "text"):
+            c = part.column(1).to_numpy(zero_copy_only=False)
+            of, h = _distinct_words(data, offsets)
+            for k in range(CLASSES):
+                held[k].append(h[c[of] == k])
+        for k in range(CLASSES):
+            h, n = np.unique(np.concatenate(held[k]) if held[k] else np.zeros(0, dtype=np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.full(len(h), k, dtype=np.int32)), pa.array(n.astype(np.int64))], names=["h", "cls", "n"])
+
+    counted = own.select("text", "cls").mapInArrow(distinct, "h long, cls int, n long")
+    by = [F.sum(F.when(F.col("cls") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(CLASSES)]
+    df = counted.groupBy("h").agg(*by)
+    a, b = F.col("c1") + F.col("c3"), F.col("c0") + F.col("c2")
+    totals = np.zeros(CLASSES)
+    for r in own.groupBy("cls").count().collect():  # CLASSES rows
+        totals[r["cls"]] = r["count"]
+    pos, neg = float(totals[1] + totals[3]), float(totals[0] + totals[2])
+    chi = F.try_divide((a * neg - b * pos) ** 2 * (pos + neg) / max(1.0, pos * neg), (a + b) * (pos + neg - a - b))
+    top = df.where((a >= min_df) & (a * neg > b * pos)).withColumn("chi", chi).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "h").limit(features)
+    got = sorted((r["h"] % 2**64, r["c0"], r["c1"], r["c2"], r["c3"]) for r in top.collect())  # `features` rows at most
+    known = np.array([r[0] for r in got], dtype=np.uint64)
+    table = np.array([r[1:5] for r in got], dtype=float).reshape(-1, CLASSES)
+    nothing = Ordinal(known[:0], np.zeros(0), np.full(GRADES - 1, 20.0))
+    if not len(known):
+        return nothing
 
     def rows(batches):
         for part, data, offsets in slices(batches, "text"):
             t, f, v = _counts(Words(data, offsets, lower=True, separators=NOT_ALNUM), known)
             at = np.searchsorted(t, np.arange(part.num_rows + 1))
             a = np.zeros(len(f), dtype=PAIRS)
-            a["h"], a["n"] = f, np.rint(np.expm1(v))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([a[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "toxic", "pairs"])
-
-    got = own.select("doc_id", "text", "toxic").mapInArrow(rows, "doc_id long, toxic int, pairs binary").orderBy("doc_id").collect()  # `sample` rows
-    if not got or not len(known):
-        return Ordinal(known[:0], np.zeros(0), np.full(GRADES - 1, 20.0))
-    toxic = np.array([r["toxic"] for r in got]) > 0
-    n = [len(r["pairs"]) // PAIRS.itemsize for r in got]
-    a = np.frombuffer(b"".join(r["pairs"] for r in got), dtype=PAIRS)
-    row, col, times = np.repeat(np.arange(len(got)), n), a["h"].astype(np.int64), a["n"].astype(float)
-    pos, neg = max(1, toxic.sum()), max(1, (~toxic).sum())
-    in_pos, in_neg = np.bincount(col, toxic[row], minlength=len(known)), np.bincount(col, ~toxic[row], minlength=len(known))
-    odds = np.log((in_pos + 0.5) / (pos - in_pos + 0.5)) - np.log((in_neg + 0.5) / (neg - in_neg + 0.5))
-    chi = (in_pos * neg - in_neg * pos) ** 2 / np.maximum((in_pos + in_neg) * (pos + neg - in_pos - in_neg), 1)
-    best = np.argsort(-chi, kind="stable")[:features]
-    keep = np.sort(best[chi[best] >= MIN_CHI])
-    weight = np.bincount(row, times * (odds[col] > INDICATOR), minlength=len(got))
-    grade = np.zeros(len(got), dtype=np.int64)
-    if toxic.any():
-        cuts = np.quantile(weight[toxic], [1 / 3, 2 / 3])
-        grade[toxic] = 1 + (weight[toxic, None] > cuts[None, :]).sum(axis=1)
-    new = np.full(len(known), -1)
-    new[keep] = np.arange(len(keep))
-    on = new[col] >= 0
-    w, theta = fit_ordinal(Sparse(row[on], new[col[on]], np.log1p(times[on]), (len(got), len(keep))), grade, GRADES)
-    return Ordinal(known[keep], w, theta)
+            a["f"], a["n"] = f, np.rint(np.expm1(v))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([a[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "cls", "pairs"])
+
+    def train(batches):
+        every = sorted(x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        if every:
+            w, theta = _train([x[1:] for x in every], table, totals)
+            yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([theta.tolist()], pa.list_(pa.float64()))], names=["w", "theta"])
+
+    # one task: `sample` rows of at most `features` counts
+    fitted = own.select("doc_id", "text", "cls").mapInArrow(rows, "doc_id long, cls int, pairs binary").repartition(1).mapInArrow(train, "w array<double>, theta array<double>").collect()
+    return Ordinal(known, np.array(fitted[0]["w"]), np.array(fitted[0]["theta"])) if fitted else nothing
 
 
 def score(docs: DataFrame, model: Ordinal, threshold: float = 0.3) -> DataFrame:
-    """docs' rows with expected_severity, grade (largest with P(grade >= j) >= 0.5) and toxic (P(grade >= 1) >= threshold) added.
+    """docs' rows with expected_severity, grade (largest j with P(grade >= j) >= threshold, else 0) and toxic (grade > 0) added.
 
     threshold: 0.3 parts labelled held-out documents best (toxic ones score 0.3 or more, others 0.01 on average).
     Null and empty texts have no features. Columns of these names are replaced; others stay.
@@ -162,7 +197,7 @@ def score(docs: DataFrame, model: Ordinal, threshold: float = 0.3) -> DataFrame:
         for rows, data, offsets in slices(batches, "text"):
             t, f, v = _counts(Words(data, offsets, lower=True, separators=NOT_ALNUM), m.hashes)
             above = m.above(np.bincount(t, v * m.weights[f], minlength=rows.num_rows))
-            out = [pa.array(above.sum(axis=1)), pa.array((above >= 0.5).sum(axis=1).astype(np.int32)), pa.array(above[:, 0] >= threshold)]
+            out = [pa.array(above.sum(axis=1)), pa.array((above >= threshold).sum(axis=1).astype(np.int32)), pa.array(above[:, 0] >= threshold)]
             yield pa.RecordBatch.from_arrays([*rows.columns, *out], names=[*rows.schema.names, *added])
 
     from pyspark.sql import types as T
