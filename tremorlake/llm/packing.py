@@ -1,13 +1,16 @@
 """Best-fit packing of documents' tokens into sequences of a fixed length.
 
-Bulk-synchronous best-fit: documents and gaps are range-sorted by size; each step takes
-the documents of the next smaller length, sweeps the sorted gaps from that length up and
-matches documents to the smallest gaps that hold them, conflicts being settled by rank
-(the r-th document of a length gets the r-th place of the sweep); then gaps are updated
-and the step repeats. Equal lengths and equal gaps are interchangeable, so the sweeps run
-over runs (length, count) and (gap, range of sequences): tables bounded by the sequence
-length, whatever the number of documents. Ranks of documents are found in Spark, in
-parts of a length, so a length that a third of all documents share is no hot group.
+Bulk-synchronous best-fit, by classes of falling length (size/2 and more, then down to
+size/3, size/4, ...). A round range-sorts the documents of a class together with the gaps
+of open sequences; a gap of g tokens offers g // hi places that hold any document of the
+class (lo, hi] and one place of what is left, g % hi. Each task sweeps its range: a
+document goes to the successor place, the least one that holds it, and where several want
+one place the largest document has it (documents are opening and places closing brackets
+of the sorted order; partners are the matching ones). What a range leaves over is matched
+with what the ranges below leave by ranks, for which one count a range goes to the driver.
+Documents that no gap takes open new sequences, gaps are updated, and the round repeats
+until the class is empty. A length that a third of all documents share is cut by
+document number, so no range is hot. The tables of a round hold numbers alone, not texts.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +31,12 @@ from .exchange import Scratch, parts
 #: The published split pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_TEXT = ("<|endoftext|>", 50256)
-#: Texts whose result a worker remembers.
-REMEMBERED = 100_000
+#: Pieces of texts that a worker remembers, so a copy that follows is not encoded again.
+REMEMBERED = 20_000
+#: Classes: documents of more than size / (next divisor) and at most size / divisor tokens.
+DIVISORS = (1, 2, 3, 4, 5, 6, 8, 10, 13, 16, 24, 32, 64, 128, 1024)
+#: A round opens all sequences that are needed once this share of the sequences would be enough.
+LAST = 0.002
 
 
 @lru_cache(maxsize=2)
@@ -55,6 +63,7 @@ def encoder(path: str):
 
 
 _remembered: dict = {}
+_held: list[int] = []
 
 
 def _cut(text: str, path: str, size: int, end: int) -> list[tuple[int, int, int, int]]:
@@ -66,9 +75,12 @@ def _cut(text: str, path: str, size: int, end: int) -> list[tuple[int, int, int,
     first = len(ids) if len(ids) <= size else len(ids) % size or size
     at = [0, *range(first, len(ids) + 1, size)]
     out = [(i, s, e - s, zlib.crc32(ids[s:e].data)) for i, (s, e) in enumerate(zip(at, at[1:], strict=False))]
-    if len(_remembered) >= REMEMBERED:
-        _remembered.clear()
-    _remembered[key] = out
+    if len(out) < REMEMBERED // 10:
+        if sum(_held) + len(out) > REMEMBERED:
+            _remembered.clear()
+            _held.clear()
+        _remembered[key] = out
+        _held.append(len(out))
     return out
 
 
@@ -84,46 +96,168 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 1024, end: int = 2) ->
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sweep(counts: dict[int, int], size: int) -> np.ndarray:
-    """Places for counts[length] pieces of each length, as rows (length, first rank, last rank + 1, pieces a sequence, first sequence, offset)."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> ranges of sequences
-    out, fresh = [], 0
-    for length in sorted((x for x, n in counts.items() if n), reverse=True):
-        rank, left, changed = 0, counts[length], []
-        for gap in sorted(g for g in gaps if g >= length):
-            many = gap // length
-            ranges = gaps.pop(gap)
-            while ranges and left:
-                lo, hi = ranges.pop()
-                full = min(hi - lo, left // many)
-                if full:
-                    out.append((length, rank, rank + full * many, many, lo, size - gap))
-                    changed.append((gap - many * length, lo, lo + full))
-                    rank, left, lo = rank + full * many, left - full * many, lo + full
-                if lo < hi and left and left < many:
-                    out.append((length, rank, rank + left, left, lo, size - gap))
-                    changed.append((gap - left * length, lo, lo + 1))
-                    rank, left, lo = rank + left, 0, lo + 1
-                if lo < hi:
-                    ranges.append((lo, hi))
-            if ranges:
-                gaps[gap] = ranges
-            if not left:
+def partners(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, places): matching brackets of a sorted order; place[i] tells whether i is a place (closing) or a document."""
+    depth = np.cumsum(np.where(place, -1, 1))
+    level = depth + place
+    order = np.lexsort((np.arange(len(place)), level))
+    a, b = order[:-1], order[1:]
+    pair = (level[a] == level[b]) & ~place[a] & place[b]
+    return a[pair], b[pair]
+
+
+ITEM, PLACE, WHOLE, MATCHED = range(4)
+SWEPT = "pid int, what int, ord long, key long, size long, seq long"
+
+
+def _sweep(rows: DataFrame, n: int, hi: int) -> DataFrame:
+    """rows (size, what, least, key) in ranges by size; pid: a range; ord: place among what it leaves over.
+
+    Left over are documents (ITEM), places (PLACE) and the many-fold places of gaps (WHOLE;
+    size: how many, ord: those of the range before it); MATCHED has a document's sequence.
+    """
+
+    def run(batches):
+        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if not got:
+            return
+        size, what, least, key = (np.concatenate(c) for c in zip(*got, strict=True))
+        pid = TaskContext.get().partitionId()
+        unit = np.flatnonzero(what != WHOLE)
+        doc, place = (unit[x] for x in partners(what[unit] == PLACE))
+        left = np.ones(len(what), dtype=bool)
+        left[doc] = left[place] = False
+        many = np.flatnonzero(what == WHOLE)
+        size[many] = least[many] // hi
+        out = [(MATCHED, doc, np.arange(len(doc)), size[doc], key[place])]
+        for kind in (ITEM, PLACE):
+            at = np.flatnonzero(left & (what == kind))
+            out.append((kind, at, np.arange(len(at)), size[at], key[at]))
+        out.append((WHOLE, many, np.cumsum(size[many]) - size[many], size[many], key[many]))
+        for kind, at, order, sizes, seq in out:
+            for i in range(0, len(at), 50_000):
+                j = slice(i, i + 50_000)
+                m = len(at[j])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, pid, dtype=np.int32)), pa.array(np.full(m, kind, dtype=np.int32)), pa.array(order[j]), pa.array(key[at[j]]), pa.array(sizes[j]), pa.array(seq[j])], names=["pid", "what", "ord", "key", "size", "seq"])
+
+    return rows.select("size", "what", "least", "key").repartitionByRange(n, "size", "what", "least", "key").sortWithinPartitions("size", "what", "least", "key").mapInArrow(run, SWEPT)
+
+
+def settle(left: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, int]:
+    """Goals of the documents that ranges leave over, from (pid, documents, places, many-fold places) of each range, ascending.
+
+    Rows (pid, from, to, goal, number): document ord of [from, to) has number + to - 1 - ord in
+    goal: a range's places (pid) or, for -1, those that no single place takes, by falling
+    length. Also the number of these. A few entries a range, whatever the documents.
+    """
+    stack: list[tuple[int, int, int]] = []
+    out = []
+    for pid, docs, places, _ in left:
+        at = 0
+        while at < places and stack:
+            p, lo, hi = stack.pop()
+            take = min(places - at, hi - lo)
+            out.append((p, hi - take, hi, pid, at))
+            at += take
+            if hi - take > lo:
+                stack.append((p, lo, hi - take))
+        if docs:
+            stack.append((pid, 0, docs))
+    rank = 0
+    while stack:
+        p, lo, hi = stack.pop()
+        out.append((p, lo, hi, -1, rank))
+        rank += hi - lo
+    return np.array(sorted(out), dtype=np.int64).reshape(-1, 5), rank
+
+
+def _goals(swept: DataFrame, table: np.ndarray, before: dict[int, int], wanted: int) -> DataFrame:
+    """(side, goal, number, key, size): documents (side 0) and places (side 1) that are left over, so that partners share goal and number."""
+
+    def run(batches):
+        for b in batches:
+            pid, what, order, key, size, seq = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns)
+            out = []
+            at = np.flatnonzero(what == ITEM)
+            if len(at):
+                index = (table[:, 0] << 40) + table[:, 1]
+                row = table[np.searchsorted(index, (pid[at] << 40) + order[at], side="right") - 1]
+                out.append((0, row[:, 3], row[:, 4] + row[:, 2] - 1 - order[at], key[at], size[at]))
+            at = np.flatnonzero(what == PLACE)
+            if len(at):
+                out.append((1, pid[at], order[at], key[at], size[at]))
+            at = np.flatnonzero(what == WHOLE)
+            if len(at):
+                first = order[at] + np.array([before[p] for p in pid[at].tolist()], dtype=np.int64)
+                times = np.clip(wanted - first, 0, size[at])
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                out.append((1, np.full(len(nth), -1, dtype=np.int64), np.repeat(first, times) + nth, np.repeat(seq[at], times), np.zeros(len(nth), dtype=np.int64)))
+            for side, *columns in out:
+                for i in range(0, len(columns[0]), 50_000):
+                    part = [pa.array(c[i : i + 50_000]) for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), side, dtype=np.int32)), *part], names=["side", "goal", "number", "key", "size"])
+
+    return swept.where(f"what <> {MATCHED}").mapInArrow(run, "side int, goal long, number long, key long, size long")
+
+
+def assign(items: DataFrame, size: int, scratch: Scratch) -> list[DataFrame]:
+    """Tables (id, length, seq) that together give each of items (id, length <= size) a sequence; lengths of a sequence sum to size at most."""
+    spark, n = items.sparkSession, parts(items.sparkSession)
+    bounds = sorted({size // d for d in DIVISORS} | {0}, reverse=True)
+    held = {r["length"]: r["count"] for r in items.groupBy("length").count().collect()}  # `size` rows at most
+    # two documents over half the size never share a sequence: each opens its own
+    half = bounds[1]
+    alone = items.where(F.col("length") > half).select("id", "length", (-1 - F.col("id")).alias("seq"))
+    done, opened = [alone], sum(m for x, m in held.items() if x > half)
+    gaps = alone.select("seq", (size - F.col("length")).alias("gap")).where("gap > 0")
+    saved, first = None, 0
+    for hi, lo in zip(bounds[1:], bounds[2:], strict=False):
+        if not any(lo < x <= hi for x in held):
+            continue
+        left = items.where((F.col("length") > lo) & (F.col("length") <= hi)).select("id", "length")
+        while True:
+            docs = left.select(F.col("length").alias("size"), F.lit(ITEM).alias("what"), F.lit(0).cast("long").alias("least"), F.col("id").alias("key"))
+            open_ = gaps.where(F.col("gap") > lo)
+            one = open_.select((F.col("gap") % hi).alias("size"), F.lit(PLACE).alias("what"), F.col("gap").alias("least"), F.col("seq").alias("key")).where(F.col("size") > lo)
+            many = open_.where(F.col("gap") >= hi).select(F.lit(hi).cast("long").alias("size"), F.lit(WHOLE).alias("what"), F.col("gap").alias("least"), F.col("seq").alias("key"))
+            swept = scratch.save(_sweep(docs.union(one).union(many), n, hi))
+            counts: dict[int, list[int]] = {}
+            volume = 0
+            for r in swept.where(f"what <> {MATCHED}").groupBy("pid", "what").agg(F.count("*").alias("m"), F.sum("size").alias("s")).collect():  # 3 rows a range
+                counts.setdefault(r["pid"], [0, 0, 0])[r["what"]] = r["s"] if r["what"] == WHOLE else r["m"]
+                volume += r["s"] if r["what"] == ITEM else 0
+            table, rank = settle([(p, *counts[p]) for p in sorted(counts)])
+            before, places = {}, 0
+            for p in sorted(counts):
+                before[p], places = places, places + counts[p][WHOLE]
+            # what is left opens sequences of size // hi documents each: as many as its tokens need, or all
+            each, wanting = size // hi, max(0, rank - places)
+            fresh = -(-wanting // each)
+            fewest = -(-volume // size) if wanting else 0
+            if fresh - fewest > LAST * (opened + fresh):
+                fresh = fewest
+            goals = _goals(swept, table, before, rank)
+            here = goals.where("side = 0")
+            there = goals.where("side = 1").select("goal", "number", F.col("key").alias("place"))
+            new = F.col("number") - F.lit(places)
+            seq = F.coalesce("place", F.when((F.col("goal") == -1) & (new >= 0) & (new < fresh * each), F.lit(first) + F.floor(new / each)))
+            met = here.join(there, ["goal", "number"], "left").select(F.col("key").alias("id"), F.col("size").alias("length"), seq.cast("long").alias("seq"))
+            placed = scratch.save(swept.where(f"what = {MATCHED}").select(F.col("key").alias("id"), F.col("size").alias("length"), "seq").union(met))
+            scratch.drop(swept)
+            done.append(placed.where("seq is not null"))
+            more = spark.range(first, first + fresh, 1, min(n, max(1, fresh))).select(F.col("id").alias("seq"), F.lit(size).cast("long").alias("gap"))
+            taken = placed.where("seq is not null").select("seq", (-F.col("length")).alias("gap"))
+            gaps = scratch.save(gaps.union(more).union(taken).groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0"))
+            if saved is not None:
+                scratch.drop(saved)
+            saved = gaps
+            first, opened = first + fresh, opened + fresh
+            if wanting <= fresh * each:
                 break
-        if left:
-            many = size // length
-            full, rest = divmod(left, many)
-            if full:
-                out.append((length, rank, rank + full * many, many, fresh, 0))
-                changed.append((size - many * length, fresh, fresh + full))
-            if rest:
-                out.append((length, rank + full * many, rank + left, rest, fresh + full, 0))
-                changed.append((size - rest * length, fresh + full, fresh + full + 1))
-            fresh += full + bool(rest)
-        for gap, lo, hi in changed:
-            if gap:
-                gaps.setdefault(gap, []).append((lo, hi))
-    return np.array(out, dtype=np.int64).reshape(-1, 6)
+            left = placed.where("seq is null").select("id", "length")
+    if saved is not None:
+        scratch.drop(saved)
+    return done
 
 
 def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end: int = 2) -> DataFrame:
@@ -132,26 +266,12 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end: int = 2) -> Da
     Repeated rows are packed each; null texts are empty; the order of rows does not
     matter. No document is dropped, and only those over `size` are cut.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "packing")
-    n = parts(spark)
-    every = scratch.save(pieces(docs, vocabulary, size, end).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)).cast("int")))
-    counts = scratch.save(every.groupBy("length", "part").count())
-    runs = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # `size` rows at most
-    places = spark.sparkContext.broadcast(sweep(runs, size))  # at most 2 * size ranges for each of `size` lengths
-    before = counts.select("length", "part", (F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = every.withColumn("own", own).join(before, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("before")).alias("rank"))
-
-    def place(batches):
-        t = places.value
-        order = np.lexsort((t[:, 1], t[:, 0]))
-        t = t[order]
-        key = (t[:, 0] << 48) + t[:, 1]
-        for b in batches:
-            length, rank = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
-            row = t[np.searchsorted(key, (length << 48) + rank, side="right") - 1]
-            nth = rank - row[:, 1]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(row[:, 4] + nth // row[:, 3]), pa.array(row[:, 5] + length * (nth % row[:, 3]))], names=[*b.schema.names[:5], "sequence_id", "offset"])
-
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    scratch = Scratch(docs.sparkSession, "packing")
+    every = scratch.save(pieces(docs, vocabulary, size, end).withColumn("id", F.monotonically_increasing_id()))
+    done = assign(every.select("id", "length"), size, scratch)
+    where = done[0]
+    for x in done[1:]:
+        where = where.union(x)
+    of = Window.partitionBy("seq").orderBy(F.desc("length"), "id")  # a sequence has `size` pieces at most
+    placed = every.join(where.select("id", "seq"), "id").withColumn("offset", F.sum("length").over(of) - F.col("length"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), "offset")
