@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import zlib
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import Scratch, parts
+from .exchange import Scratch
 
 #: The published split pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -34,7 +35,9 @@ END_TEXT = ("<|endoftext|>", 50256)
 #: Pieces of texts that a worker remembers, so a copy that follows is not encoded again.
 REMEMBERED = 20_000
 #: Classes: documents of more than size / (next divisor) and at most size / divisor tokens.
-DIVISORS = (1, 2, 3, 4, 5, 6, 8, 10, 13, 16, 24, 32, 64, 128, 1024)
+DIVISORS = (1, 2, 3, 4, 5, 7, 10, 16, 32, 128, 1024)
+#: Rows (40 bytes) of a range, about.
+RANGE = 50_000
 #: A round opens all sequences that are needed once this share of the sequences would be enough.
 LAST = 0.002
 
@@ -202,7 +205,7 @@ def _goals(swept: DataFrame, table: np.ndarray, before: dict[int, int], wanted:
 
 def assign(items: DataFrame, size: int, scratch: Scratch) -> list[DataFrame]:
     """Tables (id, length, seq) that together give each of items (id, length <= size) a sequence; lengths of a sequence sum to size at most."""
-    spark, n = items.sparkSession, parts(items.sparkSession)
+    spark = items.sparkSession
     bounds = sorted({size // d for d in DIVISORS} | {0}, reverse=True)
     held = {r["length"]: r["count"] for r in items.groupBy("length").count().collect()}  # `size` rows at most
     # two documents over half the size never share a sequence: each opens its own
@@ -215,12 +218,15 @@ def assign(items: DataFrame, size: int, scratch: Scratch) -> list[DataFrame]:
         if not any(lo < x <= hi for x in held):
             continue
         left = items.where((F.col("length") > lo) & (F.col("length") <= hi)).select("id", "length")
+        own = {x: m for x, m in held.items() if lo < x <= hi}
+        rows, whole = sum(own.values()), sum(x * m for x, m in own.items())
         while True:
+            usable = gaps.where(F.col("gap") > lo).agg(F.sum("gap").alias("s")).first()["s"] or 0
             docs = left.select(F.col("length").alias("size"), F.lit(ITEM).alias("what"), F.lit(0).cast("long").alias("least"), F.col("id").alias("key"))
             open_ = gaps.where(F.col("gap") > lo)
             one = open_.select((F.col("gap") % hi).alias("size"), F.lit(PLACE).alias("what"), F.col("gap").alias("least"), F.col("seq").alias("key")).where(F.col("size") > lo)
             many = open_.where(F.col("gap") >= hi).select(F.lit(hi).cast("long").alias("size"), F.lit(WHOLE).alias("what"), F.col("gap").alias("least"), F.col("seq").alias("key"))
-            swept = scratch.save(_sweep(docs.union(one).union(many), n, hi))
+            swept = scratch.save(_sweep(docs.union(one).union(many), 1 + (rows + opened) // RANGE, hi))
             counts: dict[int, list[int]] = {}
             volume = 0
             for r in swept.where(f"what <> {MATCHED}").groupBy("pid", "what").agg(F.count("*").alias("m"), F.sum("size").alias("s")).collect():  # 3 rows a range
@@ -230,10 +236,12 @@ def assign(items: DataFrame, size: int, scratch: Scratch) -> list[DataFrame]:
             before, places = {}, 0
             for p in sorted(counts):
                 before[p], places = places, places + counts[p][WHOLE]
-            # what is left opens sequences of size // hi documents each: as many as its tokens need, or all
+            # what is left opens sequences of size // hi documents each: as many as its tokens need beyond the gaps, or all
             each, wanting = size // hi, max(0, rank - places)
             fresh = -(-wanting // each)
-            fewest = -(-volume // size) if wanting else 0
+            rest = volume * wanting / max(1, rank)
+            room = usable - (whole - rest) if 10 * (rows - wanting) >= rows else 0.0
+            fewest = math.ceil(max(0.0, rest - max(0.0, room)) / size)
             if fresh - fewest > LAST * (opened + fresh):
                 fresh = fewest
             goals = _goals(swept, table, before, rank)
@@ -245,7 +253,7 @@ def assign(items: DataFrame, size: int, scratch: Scratch) -> list[DataFrame]:
             placed = scratch.save(swept.where(f"what = {MATCHED}").select(F.col("key").alias("id"), F.col("size").alias("length"), "seq").union(met))
             scratch.drop(swept)
             done.append(placed.where("seq is not null"))
-            more = spark.range(first, first + fresh, 1, min(n, max(1, fresh))).select(F.col("id").alias("seq"), F.lit(size).cast("long").alias("gap"))
+            more = spark.range(first, first + fresh, 1, 1 + fresh // RANGE).select(F.col("id").alias("seq"), F.lit(size).cast("long").alias("gap"))
             taken = placed.where("seq is not null").select("seq", (-F.col("length")).alias("gap"))
             gaps = scratch.save(gaps.union(more).union(taken).groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0"))
             if saved is not None:
@@ -255,6 +263,7 @@ def assign(items: DataFrame, size: int, scratch: Scratch) -> list[DataFrame]:
             if wanting <= fresh * each:
                 break
             left = placed.where("seq is null").select("id", "length")
+            hi, whole, rows = left.agg(F.max("length"), F.sum("length"), F.count("*")).first()
     if saved is not None:
         scratch.drop(saved)
     return done
