@@ -132,3 +132,18 @@ def test_grid_counts(spark):
     st = spark.createDataFrame(net(3))
     tt = R.travel_times(st, Association(xy_grid=0.1, z_grids=(5.0,)))
     assert tt.select("net_sta").distinct().count() == 12 and tt.where("ttp <= 0").count() == 0
+
+
+def test_windows_do_not_depend_on_blocks(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(c, i + 5, rnd.random()) for c in "ab" for i in range(300 if c == "a" else 41)]
+    df = spark.createDataFrame(rows, "chn string, idx long, v double").repartition(3)
+    ops = {"sta_lta": lambda x: R.sta_lta(x, 4, 20), "rolling_kurtosis": lambda x: R.rolling_kurtosis(x, 30), "first_difference": R.first_difference, "energy_norm": lambda x: R.energy_norm(x, 25)}
+    for op in ops.values():
+        got = []
+        for block in (1 << 16, 16):
+            monkeypatch.setattr(R, "BLOCK", block)
+            got.append(sorted((r["chn"], r["idx"], *(None if x is None else round(x, 9) for x in r[2:])) for r in op(df).collect()))
+        assert got[0] == got[1] and got[0]

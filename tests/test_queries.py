@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tremorlake.plans import catalog_queries as C
+from tremorlake.plans import file_queries as T
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -25,11 +26,11 @@ def rows(columns, data):
     return [columns[i] for i in order], sorted((tuple(norm(r[i]) for i in order) for r in data), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(C.ORACLE))
+@pytest.mark.parametrize("name", sorted(C.ORACLE | T.ORACLE))
 def test_matches_sql(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     got = rows(df.columns, df.collect())
-    rel = duck.sql(C.ORACLE[name])
+    rel = duck.sql((C.ORACLE | T.ORACLE)[name])
     want = rows(rel.columns, rel.fetchall())
     assert got[0] == want[0]
     assert len(got[1]) == len(want[1])

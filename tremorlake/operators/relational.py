@@ -2,7 +2,8 @@
 
 Times are microseconds (long columns *_us), so every strict |a - b| < w is the integer
 range a - (w - 1) .. a + (w - 1) and no float drift enters a comparison. Windows are
-partitioned by day or channel: no operator here puts all rows into one task.
+partitioned by day, or by channel and block of samples: no operator here puts all rows
+into one task.
 """
 
 from __future__ import annotations
@@ -92,32 +93,51 @@ def dead_time(times: DataFrame, gap_us: int, by: str = "chn", column: str = "t_u
 
 
 # samples -------------------------------------------------------------------------------
+#: Samples of a channel that one window partition has.
+BLOCK = 1 << 16
+
+
+def _blocks(samples: DataFrame, before: int, after: int, by: str = "chn") -> DataFrame:
+    """samples (idx consecutive within a channel) with `block`; rows that windows of so many samples before or after need stand in the neighbour's block too (`own` is false there)."""
+    home = lambda x: F.floor(x / BLOCK)
+    blocks = F.sequence(home(F.col("idx") - after), home(F.col("idx") + before))
+    return samples.withColumn("block", F.explode(blocks)).withColumn("own", F.col("block") == home(F.col("idx")))
+
+
+def _block_window(by: str = "chn"):
+    return Window.partitionBy(by, "block").orderBy("idx")
+
+
+def _own(df: DataFrame, *drop: str) -> DataFrame:
+    return df.where("own").drop("own", "block", *drop)
+
+
 def sta_lta(samples: DataFrame, ns: int, nl: int) -> DataFrame:
     """Leading short over trailing long mean of v of (chn, idx); 0 in the first nl samples and where it is no number."""
-    w = Window.partitionBy("chn").orderBy("idx")
-    size = F.count("*").over(Window.partitionBy("chn"))
-    place = F.row_number().over(w) - 1
-    sta = F.when(place < size - ns, F.sum("v").over(w.rowsBetween(1, ns)) / ns).otherwise(F.lit(0.0))
-    lta = F.sum("v").over(w.rowsBetween(-nl + 1, 0)) / nl
-    return samples.withColumn("cf", F.when((place < nl) | (size < nl + ns), 0.0).otherwise(safe_divide(sta, lta)))
+    w = _block_window()
+    size = samples.groupBy("chn").agg(F.count("*").alias("size"), F.min("idx").alias("idx0"))  # one row a channel
+    sums = _blocks(samples, nl, ns).withColumn("short", F.sum("v").over(w.rowsBetween(1, ns))).withColumn("long", F.sum("v").over(w.rowsBetween(-nl + 1, 0)))
+    placed = _own(sums).join(size, "chn").withColumn("place", F.col("idx") - F.col("idx0"))
+    sta = F.when(F.col("place") < F.col("size") - ns, F.col("short") / ns).otherwise(F.lit(0.0))
+    cf = F.when((F.col("place") < nl) | (F.col("size") < nl + ns), 0.0).otherwise(safe_divide(sta, F.col("long") / nl))
+    return placed.withColumn("cf", cf).drop("short", "long", "size", "idx0", "place")
 
 
 def rolling_kurtosis(samples: DataFrame, n: int) -> DataFrame:
     """Excess kurtosis (population) of v over idx .. idx + n - 1, for full windows."""
-    w = Window.partitionBy("chn").orderBy("idx").rowsBetween(0, n - 1)
-    return samples.withColumn("kurt", F.kurtosis("v").over(w)).withColumn("m", F.count("*").over(w)).where(F.col("m") == n).drop("m")
+    w = _block_window().rowsBetween(0, n - 1)
+    return _own(_blocks(samples, 0, n).withColumn("kurt", F.kurtosis("v").over(w)).withColumn("m", F.count("*").over(w)).where(F.col("m") == n), "m")
 
 
 def first_difference(samples: DataFrame) -> DataFrame:
     """W11."""
-    w = Window.partitionBy("chn").orderBy("idx")
-    return samples.withColumn("diff", F.col("v") - F.lag("v").over(w))
+    return _own(_blocks(samples, 1, 0).withColumn("diff", F.col("v") - F.lag("v").over(_block_window())))
 
 
 def energy_norm(samples: DataFrame, n: int) -> DataFrame:
     """Sqrt of the energy of the n samples after each."""
-    w = Window.partitionBy("chn").orderBy("idx").rowsBetween(1, n)
-    return samples.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(w))).withColumn("m", F.count("*").over(w)).where(F.col("m") == n).drop("m")
+    w = _block_window().rowsBetween(1, n)
+    return _own(_blocks(samples, 0, n).withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(w))).withColumn("m", F.count("*").over(w)).where(F.col("m") == n), "m")
 
 
 # stations and traces -------------------------------------------------------------------
@@ -203,20 +223,25 @@ def owned(relocated: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 # pairs ---------------------------------------------------------------------------------
+#: The cell itself, and of each two opposite neighbours one.
+HALF = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
+
+
 def event_pairs(events: DataFrame, p: Pairing) -> DataFrame:
-    """Unordered pairs of distinct events within the box |dlat|, |dlon| cos(lat), |ddep| (strict) of either one.
+    """Unordered pairs of distinct events (event_id is unique) within the box |dlat|, |dlon| cos(lat), |ddep| (strict) of either one.
 
-    Cells as large as the box, and the cells around, make it an equi-join.
+    Cells as large as the box make it an equi-join; each event also stands in the half of
+    the cells around, so that of two neighbouring cells one meets the other once.
     """
     dlat, dlon, ddep = p.loc_dev
     lo = events.agg(F.max(F.abs("lat")).alias("m"))
     east = lo.select((F.lit(dlon / KM_PER_DEGREE) / F.greatest(cos_degrees(F.col("m")), F.lit(0.01))).alias("w"))
     e = events.join(F.broadcast(east)).select("event_id", "lat", "lon", "dep", F.floor(F.col("lat") / (dlat / KM_PER_DEGREE)).alias("bi"), F.floor(F.col("lon") / F.col("w")).alias("bj"), F.floor(F.col("dep") / ddep).alias("bk"))
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    n = e.select(F.col("event_id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("dep").alias("dep2"), F.col("bi").alias("i0"), F.col("bj").alias("j0"), F.col("bk").alias("k0"))
-    n = n.withColumn("a", F.explode(around)).withColumn("b", F.explode(around)).withColumn("c", F.explode(around)).select("id2", "lat2", "lon2", "dep2", (F.col("i0") + F.col("a")).alias("bi"), (F.col("j0") + F.col("b")).alias("bj"), (F.col("k0") + F.col("c")).alias("bk"))
+    cells = F.array(*[F.struct((F.col("bi") + a).alias("bi"), (F.col("bj") + b).alias("bj"), (F.col("bk") + c).alias("bk"), F.lit((a, b, c) == (0, 0, 0)).alias("same")) for a, b, c in HALF])
+    n = e.select(F.col("event_id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("dep").alias("dep2"), F.explode(cells).alias("c")).select("id2", "lat2", "lon2", "dep2", "c.*")
     near = (KM_PER_DEGREE * F.abs(F.col("lat") - F.col("lat2")) < dlat) & (KM_PER_DEGREE * F.abs(F.col("lon") - F.col("lon2")) * F.least(cos_degrees(F.col("lat")), cos_degrees(F.col("lat2"))) < dlon) & (F.abs(F.col("dep") - F.col("dep2")) < ddep)
-    return e.join(n, ["bi", "bj", "bk"]).where(near & (F.col("event_id") < F.col("id2"))).select(F.col("event_id").alias("evid1"), F.col("id2").alias("evid2")).distinct()
+    once = ~F.col("same") | (F.col("event_id") < F.col("id2"))
+    return e.join(n, ["bi", "bj", "bk"]).where(near & once).select(F.least("event_id", "id2").alias("evid1"), F.greatest("event_id", "id2").alias("evid2"))
 
 
 def shared_stations(pairs: DataFrame, phases: DataFrame, least: int) -> DataFrame:
@@ -328,9 +353,14 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def _given(value: Column, use) -> Column:
+    """use(value), the value being worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def demeaned(a: Column) -> Column:
     """Less its mean."""
-    return F.transform(a, lambda x: x - total(a) / F.size(a))
+    return _given(total(a) / F.size(a), lambda mean: F.transform(a, lambda x: x - mean))
 
 
 def peak_to_peak(a: Column) -> Column:
@@ -340,7 +370,7 @@ def peak_to_peak(a: Column) -> Column:
 
 def max_normalised(a: Column) -> Column:
     """Over its largest absolute value; all zero stays."""
-    return F.transform(a, lambda x: safe_divide(x, F.array_max(F.transform(a, F.abs))))
+    return _given(F.array_max(F.transform(a, F.abs)), lambda top: F.transform(a, lambda x: safe_divide(x, top)))
 
 
 def correlation_max(x: Column, y: Column, n: int, m: int, skip_first: bool) -> tuple[Column, Column]:

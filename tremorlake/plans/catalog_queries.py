@@ -17,7 +17,6 @@ ASSOC, PAIR, NEURAL = Association(), Pairing(), Neural()
 OT_DEV = 2_000_000
 PAIR_T = Pairing(loc_dev=(3.0, 3.0, 1.5), num_sta=2, max_nbr=5, cc_thres=0.3, dt_thres=(0.5, 0.8), dep_dev=5.0, epi_max=120.0, pair_max=40.0)
 GRID = Grid(lat=(35.0, 37.0), lon=(-118.0, -116.0), num=(4, 3), pad=(0.05, 0.04))
-ASSOC_T = Association(xy_grid=0.2, z_grids=(2.0, 5.0))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -196,14 +195,14 @@ def event_magnitude_trimmed(s, d):
     return R.event_magnitudes(_mags(s, d)).select("event_id", F.round("mag", 6).alias("mag"), "n_used")
 
 
-TT = f""", box AS (SELECT min(lon) - {ASSOC_T.xy_margin} * (max(lon) - min(lon)) AS lon0, max(lon) + {ASSOC_T.xy_margin} * (max(lon) - min(lon)) AS lon1, min(lat) - {ASSOC_T.xy_margin} * (max(lat) - min(lat)) AS lat0, max(lat) + {ASSOC_T.xy_margin} * (max(lat) - min(lat)) AS lat1 FROM station),
- tt AS (SELECT net_sta, zi, xi, yi, sqrt(pow(111.0 * (lon0 + xi * {ASSOC_T.xy_grid} - lon) * cos(lat * {RAD!r}), 2) + pow(111.0 * (lat0 + yi * {ASSOC_T.xy_grid} - lat), 2) + pow(CASE zi WHEN 0 THEN 2.0 ELSE 5.0 END + ele / 1000, 2)) / {ASSOC_T.vp} AS ttp
- FROM station, box, (SELECT unnest(range(0, 100)) AS xi), (SELECT unnest(range(0, 100)) AS yi), (SELECT unnest([0, 1]) AS zi) WHERE xi < floor((lon1 - lon0) / {ASSOC_T.xy_grid}) AND yi < floor((lat1 - lat0) / {ASSOC_T.xy_grid}))"""
+TT = f""", box AS (SELECT min(lon) - {ASSOC.xy_margin} * (max(lon) - min(lon)) AS lon0, max(lon) + {ASSOC.xy_margin} * (max(lon) - min(lon)) AS lon1, min(lat) - {ASSOC.xy_margin} * (max(lat) - min(lat)) AS lat0, max(lat) + {ASSOC.xy_margin} * (max(lat) - min(lat)) AS lat1 FROM station),
+ tt AS MATERIALIZED (SELECT net_sta, zi, xi, yi, sqrt(pow(111.0 * (lon0 + xi * {ASSOC.xy_grid} - lon) * cos(lat * {RAD!r}), 2) + pow(111.0 * (lat0 + yi * {ASSOC.xy_grid} - lat), 2) + pow(z + ele / 1000, 2)) / {ASSOC.vp} AS ttp
+ FROM station, box, (SELECT unnest(range(0, 100)) AS xi), (SELECT unnest(range(0, 100)) AS yi), (VALUES {", ".join(f"({i}, {z!r})" for i, z in enumerate(ASSOC.z_grids))}) g(zi, z) WHERE xi < floor((lon1 - lon0) / {ASSOC.xy_grid}) AND yi < floor((lat1 - lat0) / {ASSOC.xy_grid}))"""
 
 
 @query(TT + " SELECT net_sta, CAST(zi AS INT) AS zi, CAST(xi AS INT) AS xi, CAST(yi AS INT) AS yi, round(ttp, 6) AS ttp FROM tt", "station")
 def traveltime_grid(s, d):
-    return R.travel_times(A.stations(s, d), ASSOC_T).select("net_sta", "zi", "xi", "yi", F.round("ttp", 6).alias("ttp"))
+    return R.travel_times(A.stations(s, d), ASSOC).select("net_sta", "zi", "xi", "yi", F.round("ttp", 6).alias("ttp"))
 
 
 def _clusters(s, d):
@@ -213,9 +212,9 @@ def _clusters(s, d):
     return near.select(F.col("day").alias("cluster_id"), F.col("centre").alias("ot_us"), "net_sta", "tp_us")
 
 
-@query(COUNTED + DENSE + f", near AS (SELECT c.day, x.sta_ot_us AS ot_us, c.net_sta, c.tp_us FROM counted c JOIN dense x ON c.day = x.day AND abs(c.sta_ot_us - x.sta_ot_us) < {OT_DEV})" + TT + ", hit AS (SELECT day, zi, xi, yi, abs(ttp - (tp_us - ot_us) / 1e6) AS res FROM near JOIN tt USING (net_sta) WHERE abs(ttp - (tp_us - ot_us) / 1e6) < 1.5), cell AS (SELECT day, zi, xi, yi, count(*) AS num_sta, round(sum(res), 9) AS res FROM hit GROUP BY ALL) SELECT day AS cluster_id, num_sta, round(res / num_sta, 6) AS res, CAST(zi AS INT) AS zi, CAST(xi AS INT) AS xi, CAST(yi AS INT) AS yi FROM cell QUALIFY row_number() OVER (PARTITION BY day ORDER BY num_sta DESC, res, zi, xi, yi) = 1", "pick")
+@query(COUNTED + DENSE + f", near AS MATERIALIZED (SELECT c.day, x.sta_ot_us AS ot_us, c.net_sta, c.tp_us FROM counted c JOIN dense x ON c.day = x.day AND abs(c.sta_ot_us - x.sta_ot_us) < {OT_DEV})" + TT + ", hit AS (SELECT day, zi, xi, yi, abs(ttp - (tp_us - ot_us) / 1e6) AS res FROM near JOIN tt USING (net_sta) WHERE abs(ttp - (tp_us - ot_us) / 1e6) < 1.5), cell AS (SELECT day, zi, xi, yi, count(*) AS num_sta, round(sum(res), 9) AS res FROM hit GROUP BY ALL) SELECT day AS cluster_id, num_sta, round(res / num_sta, 6) AS res, CAST(zi AS INT) AS zi, CAST(xi AS INT) AS xi, CAST(yi AS INT) AS yi FROM cell QUALIFY row_number() OVER (PARTITION BY day ORDER BY num_sta DESC, res, zi, xi, yi) = 1", "pick")
 def cell_scan_best(s, d):
-    return R.cell_scan(_clusters(s, d), R.travel_times(A.stations(s, d), ASSOC_T), 1.5)
+    return R.cell_scan(_clusters(s, d), R.travel_times(A.stations(s, d), ASSOC), 1.5)
 
 
 CAND = ", cand AS (SELECT event_id AS evid, seq AS cand, substr('ABCD', CAST(event_id * seq % 4 + 1 AS INT), 1) AS qua, (event_id * 7 + seq * 31) % 360 AS azm, (event_id + seq * 3) % 12 + 4 AS npha, (seq * 13 % 50) / 100.0 AS rms, (event_id + seq) % 5 <> 0 AS is_loc FROM phase)"
@@ -401,16 +400,15 @@ def format_lines(s, d):
     return A.catalog(s, d).select("event_id", F.concat(X.iso_text(F.col("ot_us")), F.format_string(",%.3f,%.3f,%.1f", "lat", "lon", "dep")).alias("line"))
 
 
-@query("SELECT e.event_id, p.net_sta, p.seq, p.tp_us FROM event e JOIN phase p USING (event_id) WHERE e.event_id % 5 = 0", "phase")
+@query("SELECT e.event_id, p.net_sta, p.seq, p.tp_us FROM event e JOIN phase p USING (event_id)", "phase")
 def phase_header_fill(s, d):
-    """R7 on text made of the tables: header lines and pick lines, put apart again."""
+    """R7 on text made of the tables: header lines and pick lines in files of 1,000 events, put apart again."""
     from ..sources.phases import split_phase_lines
-    from ..sources.writers import phase_lines
+    from ..sources.writers import PER_EVENT, phase_lines
 
-    e, p = A.catalog(s, d).where("event_id % 5 = 0"), A.phases(s, d).where("event_id % 5 = 0")
-    lines = phase_lines(e, p.withColumn("net_sta", F.concat_ws("|", "net_sta", "seq")), with_id=True)
-    _, ph = split_phase_lines(lines.select(F.lit("f").alias("file"), "line_no", "line"), keep_duplicates=True)
-    head, _ = split_phase_lines(lines.select(F.lit("f").alias("file"), "line_no", "line"), keep_duplicates=True)
+    lines = phase_lines(A.catalog(s, d), A.phases(s, d).withColumn("net_sta", F.concat_ws("|", "net_sta", "seq")), with_id=True)
+    file = F.floor(F.col("line_no") / (1000 * PER_EVENT)).cast("string")
+    head, ph = split_phase_lines(lines.select(file.alias("file"), "line_no", "line"), keep_duplicates=True)
     both = ph.join(head.select("file", "event_no", F.col("evid").cast("long").alias("event_id")), ["file", "event_no"])
     return both.select("event_id", F.split_part("net_sta", F.lit("|"), F.lit(1)).alias("net_sta"), F.split_part("net_sta", F.lit("|"), F.lit(2)).cast("int").alias("seq"), "tp_us")
 

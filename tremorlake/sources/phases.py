@@ -78,10 +78,14 @@ def name_events(lines: DataFrame) -> DataFrame:
     return events.select("file", (F.col("event_no") - 1).alias("ordinal"), "event_name", "ot_us")
 
 
-def read_differential_times(spark: SparkSession, path: str) -> DataFrame:
-    """(evid1, evid2, sta, phase, dt, weight) of dt.cc files."""
-    own = read_lines(spark, path).withColumn("f", F.split(F.trim("line"), r"\s+"))
+def parse_differential_times(lines: DataFrame) -> DataFrame:
+    """(evid1, evid2, sta, phase, dt, weight) of lines (file, line_no, line) of dt.cc files."""
+    own = lines.withColumn("f", F.split(F.trim("line"), r"\s+"))
     head = F.get("f", F.lit(0)) == "#"
     own = own.withColumn("pair", F.max(F.when(head, F.struct("line_no", F.get("f", F.lit(1)).try_cast("long").alias("a"), F.get("f", F.lit(2)).try_cast("long").alias("b")))).over(Window.partitionBy("file").orderBy("line_no")))
     get = lambda i: F.get("f", F.lit(i))
     return own.where(~head & F.col("pair").isNotNull()).select(F.col("pair.a").alias("evid1"), F.col("pair.b").alias("evid2"), get(0).alias("sta"), get(3).alias("phase"), get(1).try_cast("double").alias("dt"), get(2).try_cast("double").alias("weight"))
+
+
+def read_differential_times(spark: SparkSession, path: str) -> DataFrame:
+    return parse_differential_times(read_lines(spark, path))

@@ -32,6 +32,10 @@ def catalog_lines(events: DataFrame) -> DataFrame:
     return events.select("event_id", catalog_line().alias("line"))
 
 
+#: Line numbers kept for an event: a header and its picks.
+PER_EVENT = 100_000
+
+
 def phase_lines(events: DataFrame, phases: DataFrame, with_id: bool = False) -> DataFrame:
     """(line_no, line): each event's header, then its picks; with_id adds the event's id to the header.
 
@@ -44,7 +48,7 @@ def phase_lines(events: DataFrame, phases: DataFrame, with_id: bool = False) ->
     from pyspark.sql import Window
 
     within = F.row_number().over(Window.partitionBy("event_id").orderBy("part", "sub", "line"))
-    return own.select((F.col("event_id") * 100_000 + within).alias("line_no"), "line")
+    return own.select((F.col("event_id") * PER_EVENT + within).alias("line_no"), "line")
 
 
 def degrees_minutes(x: Column, positive: str, negative: str, width: int) -> Column:
