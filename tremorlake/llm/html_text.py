@@ -5,12 +5,21 @@ paragraphs, headings and the like), list items with their marks and depth, table
 cells aligned by column, preformatted text as it stands. Not visible: head matter but the
 title (a column of its own), scripts, styles, templates, comments, [hidden], inline or
 style-sheet display:none or visibility:hidden, hidden inputs, closed dialogs and details.
+
+Work and output are linear in the page, whatever it holds: a tag that is not closed by the
+page's end takes the rest with it, as in browsers (a quote that never closes is no quote);
+elements nested deeper than DEPTH lend their text to the one at that depth, as in
+browsers; lists are indented for INDENTED levels; a column is as wide as its longest line
+of up to WIDE code points, longer ones stick out; a run of blanks between the cells of a
+line has at most BLANKS.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -18,10 +27,11 @@ from pyspark.sql import DataFrame
 
 from .exchange import prepare
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*(?:>|\Z)", re.S)
+_OPENING = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_COMMENT_END = re.compile(r"-->|--!>")
+_STOP = re.compile(r">|=\s*[\"']")
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +60,7 @@ IMPLIED = {
 HEAD = frozenset("title meta link base script style template noscript".split())
 SCOPES = frozenset("table td th caption button".split())
 BULLET = "- "
+DEPTH, INDENTED, WIDE, BLANKS = 512, 20, 40, 200
 
 
 class Node:
@@ -59,11 +70,45 @@ class Node:
         self.tag, self.attrs, self.items = tag, attrs, []
 
 
+@lru_cache(maxsize=64)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+
+
+class _Reader:
+    """Places of tags in a page; each search goes over what it skips once."""
+
+    def __init__(self, html: str):
+        self.html, self.open_quote = html, set()
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag whose name ends at `at`; -1 where there is none."""
+        while True:
+            m = _STOP.search(self.html, at)
+            if m is None:
+                return -1
+            quote = m.group()[-1]
+            if quote == ">":
+                return m.start()
+            close = -1 if quote in self.open_quote else self.html.find(quote, m.end())
+            if close < 0:
+                self.open_quote.add(quote)
+            at = m.end() if close < 0 else close + 1
+
+    def raw_end(self, tag: str, at: int) -> tuple[int, int]:
+        """Where the text of a raw element ends, and its end tag; both the page's end where it is not closed."""
+        n = len(self.html)
+        stop = _closing(tag).search(self.html, at)
+        close = self.html.find(">", stop.end()) if stop else -1
+        return (stop.start() if stop else n), (close + 1 if close >= 0 else n)
+
+
 def parse(html: str) -> Node:
     """The tree of a page: nodes whose items are nodes and strings; missing and mismatched tags are mended."""
-    root = Node("html", {})
+    root, reader = Node("html", {}), _Reader(html)
     stack, at, n = [root], 0, len(html)
     opened: Counter = Counter()
+    deeper: Counter = Counter()
 
     def cut(i: int) -> None:
         opened.subtract(x.tag for x in stack[i:])
@@ -83,55 +128,80 @@ def parse(html: str) -> Node:
             cut(1)
         stack[-1].items.append(unescape(s) if "&" in s else s)
 
-    for m in iter(lambda: _TOKEN.search(html, at), None):
+    def start(tag: str, attrs: dict[str, str]) -> Node | None:
+        if tag == "html":
+            for k, v in attrs.items():
+                root.attrs.setdefault(k, v)
+            return None
+        if stack[-1].tag == "head" and tag not in HEAD:
+            cut(len(stack) - 1)
+        if tag in ENDS_P:
+            close({"p"}, SCOPES)
+        if tag in IMPLIED:
+            close(*IMPLIED[tag])
+        if tag == "a":
+            close({"a"}, SCOPES)
+        node = Node(tag, attrs)
+        stack[-1].items.append(node)
+        if tag not in VOID and tag not in RAW and tag not in RCDATA:
+            if len(stack) < DEPTH:
+                stack.append(node)
+                opened[tag] += 1
+            else:
+                deeper[tag] += 1
+        return node
+
+    def end(tag: str) -> None:
+        if deeper[tag] > 0:
+            deeper[tag] -= 1
+        elif tag == "p" and opened["p"] <= 0:
+            stack[-1].items.append(Node("p", {}))
+        elif tag == "br":
+            stack[-1].items.append(Node("br", {}))
+        elif tag not in ("html", "body") and opened[tag] > 0:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == tag:
+                    cut(i)
+                    break
+                if stack[i].tag in ("td", "th", "caption") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
+                    break
+
+    while at < n:
+        m = _OPENING.search(html, at)
+        if m is None:
+            text(html[at:])
+            break
         if m.start() > at:
             text(html[at : m.start()])
-        at = m.end()
-        start, end = m.group(1), m.group(3)
-        if start:
-            tag = start.lower()
-            attrs = {}
-            if m.group(2):
-                for a in _ATTR.finditer(m.group(2)):
-                    value = a.group(2) or a.group(3) or a.group(4) or ""
-                    attrs.setdefault(a.group(1).lower(), unescape(value) if "&" in value else value)
-            if tag == "html":
-                for k, v in attrs.items():
-                    root.attrs.setdefault(k, v)
-                continue
-            if stack[-1].tag == "head" and tag not in HEAD:
-                cut(len(stack) - 1)
-            if tag in ENDS_P:
-                close({"p"}, SCOPES)
-            if tag in IMPLIED:
-                close(*IMPLIED[tag])
-            if tag == "a":
-                close({"a"}, SCOPES)
-            node = Node(tag, attrs)
-            stack[-1].items.append(node)
-            if tag in RAW or tag in RCDATA:
-                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                raw = html[at : stop.start() if stop else n]
+        slash, name = m.groups()
+        if name is None and m.group() == "<!--":
+            if html.startswith((">", "->"), m.end()):
+                at = html.index(">", m.end()) + 1
+            else:
+                stop = _COMMENT_END.search(html, m.end())
                 at = stop.end() if stop else n
-                node.items.append(unescape(raw) if tag in RCDATA else raw)
-            elif tag not in VOID:
-                stack.append(node)
-                opened[tag] += 1
-        elif end:
-            tag = end.lower()
-            if tag == "p" and opened["p"] <= 0:
-                stack[-1].items.append(Node("p", {}))
-            elif tag == "br":
-                stack[-1].items.append(Node("br", {}))
-            elif tag not in ("html", "body") and opened[tag] > 0:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        cut(i)
-                        break
-                    if stack[i].tag in ("td", "th", "caption") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                        break
-    if at < n:
-        text(html[at:])
+            continue
+        close_at = reader.tag_end(m.end()) if name and not slash else html.find(">", m.end())
+        if close_at < 0:
+            break
+        at = close_at + 1
+        if name is None:
+            continue
+        tag = name.lower()
+        if slash:
+            end(tag)
+            continue
+        attrs: dict[str, str] = {}
+        if close_at > m.end():
+            for a in _ATTR.finditer(html, m.end(), close_at):
+                value = a.group(2) or a.group(3) or a.group(4) or ""
+                attrs.setdefault(a.group(1).lower(), unescape(value) if "&" in value else value)
+        node = start(tag, attrs)
+        if tag in RAW or tag in RCDATA:
+            stop, after = reader.raw_end(tag, at)
+            raw = html[at:stop]
+            node.items.append(unescape(raw) if tag in RCDATA else raw)
+            at = after
     return root
 
 
@@ -148,9 +218,10 @@ def _hiding(root: Node) -> tuple[set[str], set[str], set[str]]:
     tags, classes, ids = set(), set(), set()
     for x in _walk(root):
         if x.tag == "style" and x.items and _GONE.search(x.items[0].replace("{", ";")):
-            for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", x.items[0], flags=re.S)):
-                if _GONE.search(body):
-                    for s in selectors.split(","):
+            for rule in re.sub(r"/\*.*?(?:\*/|\Z)", "", x.items[0], flags=re.S).split("}")[:-1]:
+                selectors, brace, body = rule.rpartition("{")
+                if brace and _GONE.search(body):
+                    for s in selectors.rpartition("{")[2].split(","):
                         s = s.strip()
                         if re.fullmatch(r"[\w-]+", s):
                             tags.add(s.lower())
@@ -237,7 +308,7 @@ def _table(node: Node, hiding, depth: int) -> str:
             if isinstance(x, Node) and x.tag in ("td", "th"):
                 if _seen(x, hiding):
                     span = x.attrs.get("colspan", "")
-                    row.append((render(x, hiding, depth + 1).split("\n"), max(1, min(int(span), 1000)) if span.isdecimal() else 1))
+                    row.append((render(x, hiding, depth + 1).split("\n"), max(1, min(int(span[:4]), 1000)) if span.isdecimal() else 1))
             elif not isinstance(x, str) or x.strip():
                 loose.append(x)
         if row:
@@ -271,26 +342,36 @@ def _table(node: Node, hiding, depth: int) -> str:
         at = 0
         for lines, span in row:
             if span == 1:
-                width[at] = max(width.get(at, 0), *map(len, lines))
+                width[at] = max([width.get(at, 0), *(n for n in map(len, lines) if n <= WIDE)])
             at += span
+    # columns that only spanning cells have are 0 wide
+    places = [0]
+    for i in range(max(width, default=-1) + 1):
+        places.append(places[-1] + (width[i] + 2 if i in width else 0))
     out = [c for c in captions if c]
     if loose:
         holder = Node("div", {})
         holder.items = loose
         out.insert(0, render(holder, hiding, depth + 1))
     for row in rows:
-        for i in range(max(len(lines) for lines, _ in row)):
-            at, line = 0, ""
-            for lines, span in row:
-                full = sum(width.get(at + j, 0) for j in range(span)) + 2 * (span - 1)
-                line += (lines[i] if i < len(lines) else "").ljust(full) + "  "
-                at += span
-            out.append(line.rstrip(" "))
+        out.extend(_row_lines(row, places))
     return "\n".join(x for x in out if x.strip())
 
 
-#: Nesting of tables and lists beyond which their content is shown as plain blocks.
-DEEP = 40
+def _row_lines(row: list[tuple[list[str], int]], places: list[int]) -> list[str]:
+    """The lines of a row: each cell's at the place of its column, or two blanks after what stands before it there."""
+    parts: list[list[str]] = [[] for _ in range(max(len(lines) for lines, _ in row))]
+    ends = [0] * len(parts)
+    at = 0
+    for lines, span in row:
+        place = places[min(at, len(places) - 1)]
+        for i, x in enumerate(lines):
+            if x:
+                blank = min(BLANKS, max(place - ends[i], 2 if ends[i] else 0))
+                parts[i].append(" " * blank + x)
+                ends[i] = max(place, ends[i] + (2 if ends[i] else 0)) + len(x)
+        at += span
+    return ["".join(x).rstrip(" ") for x in parts]
 
 
 def render(root: Node, hiding, depth: int = 0) -> str:
@@ -314,13 +395,13 @@ def render(root: Node, hiding, depth: int = 0) -> str:
         elif tag in ("input", "button") and tag == "input":
             if x.attrs.get("type", "text").lower() not in ("checkbox", "radio", "file", "image", "color", "range", "password"):
                 out.put(x.attrs.get("value", ""))
-        elif tag == "table" and depth < DEEP:
+        elif tag == "table":
             out.block(True)
             s = _table(x, hiding, depth)
             if s:
                 out.put(s, True)
             out.block(True)
-        elif tag in ("ul", "ol", "menu") and depth < DEEP:
+        elif tag in ("ul", "ol", "menu"):
             out.block(depth == 0 and root.tag != "li")
             start = x.attrs.get("start", "1")
             number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
@@ -339,7 +420,7 @@ def render(root: Node, hiding, depth: int = 0) -> str:
                         holder.items = [y]
                         s = render(holder, hiding, depth + 1)
                     if s:
-                        lines.append(mark + s.replace("\n", "\n" + " " * len(mark)))
+                        lines.append(mark + (s.replace("\n", "\n" + " " * len(mark)) if depth < INDENTED else s))
             if lines:
                 out.put("\n".join(lines), True)
             out.block(depth == 0 and root.tag != "li")
@@ -364,6 +445,7 @@ def extract(html: str | None) -> tuple[str, str]:
     """(title, text) of a page; both empty for null or empty input."""
     if not html:
         return "", ""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEPTH))  # nested tables and lists
     html = html.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "�")
     root = parse(html)
     title = next((x for x in _walk(root) if x.tag == "title"), None)
