@@ -5,8 +5,11 @@ linking adds weak candidates: account names (`ident`), high-variety strings (`we
 service addresses (`endpoint`). On its own none is reported; an interval join of the parts
 of one text (spans at most SCOPE code points apart) reports those that meet complementary
 parts: a weak string meets an identifier or an address, an account name or an address
-meets a secret (base or weak) and, for a weak secret, one of the other two. Texts are
-scanned in one pass, each row on its own: nothing is shuffled.
+meets a secret (base or weak) and, for a weak secret, one of the other two. The join is a
+sweep over the parts sorted by start: the farthest end of each kind so far and the next
+start of each kind tell whether one is near. Texts are scanned in one pass, each row on
+its own: nothing is shuffled. Sums and sweeps go by chunks, so the work on a text with n
+parts grows as n log n.
 """
 
 from __future__ import annotations
@@ -36,12 +39,38 @@ GATES = {
 #: Code points between two parts of one credential.
 SCOPE = 200
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: Elements of an array that one step of a sweep goes over; code points of a block of text.
+CHUNK, BLOCK = 64, 1024
+FAR = 2**30
 
 
 def _none() -> Column:
     return F.array().cast("array<string>")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), the value being worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _last(a: Column) -> Column:
+    return F.get(a, F.size(a) - 1)
+
+
+def _sweep(a: Column, kind: str, zero: Column, value, combine) -> Column:
+    """Running combine() of value(x) over the elements of a: within chunks, then with what the chunks before give."""
+    none = F.array().cast(f"array<{kind}>")
+    one = lambda chunk: F.aggregate(chunk, none, lambda done, x: F.concat(done, F.array(combine(F.coalesce(_last(done), zero), value(x)))))
+    chunks = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / CHUNK).cast("int")), lambda c: one(F.slice(a, c * CHUNK + 1, CHUNK)))
+    before = lambda cs: F.aggregate(cs, F.array(zero).cast(f"array<{kind}>"), lambda done, c: F.concat(done, F.array(combine(_last(done), _last(c)))))
+    whole = lambda cs: _let(before(cs), lambda b: F.flatten(F.transform(cs, lambda c, i: F.transform(c, lambda x: combine(x, F.get(b, i))))))
+    return F.when(F.size(a) > 0, _let(a, lambda a: _let(chunks(a), whole))).otherwise(none)
+
+
+def _running_sum(a: Column) -> Column:
+    return _sweep(a, "int", F.lit(0), lambda x: x, lambda x, y: x + y)
+
+
 def _find(df: DataFrame, kinds: list[str]) -> DataFrame:
     """Adds found: spans of these kinds in column t, sorted by start, then kind."""
     gates = {k: F.lit(True) for k in kinds}
@@ -59,46 +88,58 @@ def _find(df: DataFrame, kinds: list[str]) -> DataFrame:
     more = {f"p_{k}": F.when(some(k), F.split("t", (BASE | WEAK)[k][0], -1)).otherwise(_none()) for k in kinds}
     more |= {f"g_{k}": F.when(some(k), F.regexp_extract_all("t", F.lit(p), F.lit(g))).otherwise(_none()) for k, (p, g, _) in (BASE | WEAK).items() if k in kinds and g}
     df = df.withColumns(more)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
+    # a match starts after the pieces and matches before it
+    step = lambda k: F.zip_with(F.slice(f"p_{k}", 1, F.size(f"m_{k}")), F.concat(F.array(F.lit("")), F.slice(f"m_{k}", F.lit(1), F.size(f"m_{k}") - 1)), lambda p, m: F.length(p) + F.length(m))
 
     def spans(k: str) -> Column:
         group, least = (BASE | WEAK)[k][1:]
         value = F.col(f"g_{k}") if group else F.col(f"m_{k}")
 
-        def one(m, i):
-            start = total(F.slice(f"p_{k}", F.lit(1), i + 1)) + total(F.slice(f"m_{k}", F.lit(1), i))
+        def one(m, i, starts):
+            start = F.get(starts, i)
             good = F.length(F.element_at(value, i + 1)) >= least
             if k == "weak":
                 good = good & m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")
             return F.when(good, F.struct(start.cast("int").alias("start"), F.lit(KINDS.index(k)).alias("kind"), (start + F.length(m)).cast("int").alias("end")))
 
-        return F.when(some(k), F.filter(F.transform(f"m_{k}", one), lambda x: x.isNotNull())).otherwise(F.array().cast(SPAN))
+        every = _let(_running_sum(step(k)), lambda starts: F.transform(f"m_{k}", lambda m, i: one(m, i, starts)))
+        return F.when(some(k), F.filter(every, lambda x: x.isNotNull())).otherwise(F.array().cast(SPAN))
 
     found = F.concat(*[spans(k) for k in kinds])
     return df.withColumn("found", F.array_sort(found)).drop(*[f"{x}_{k}" for k in kinds for x in "mpg"])
 
 
-def _near(x: Column, y: Column) -> Column:
-    return (y["start"] <= x["end"] + SCOPE) & (y["end"] >= x["start"] - SCOPE)
-
-
-def _meets(x: Column, parts: Column, *kinds: str) -> Column:
-    want = [KINDS.index(k) for k in kinds]
-    return F.exists(parts, lambda y: y["kind"].isin(want) & _near(x, y))
+def _by_kind(of, combine) -> tuple[str, Column, object, object]:
+    """What a sweep needs to keep one number a kind."""
+    names = [f"k{i}" for i in range(len(KINDS))]
+    zero = F.lit(-FAR if combine is F.greatest else FAR)
+    value = lambda x: F.struct(*[F.when(x["kind"] == i, of(x)).otherwise(zero).alias(n) for i, n in enumerate(names)])
+    return f"struct<{','.join(f'{n}:int' for n in names)}>", F.struct(*[zero.alias(n) for n in names]), value, lambda x, y: F.struct(*[combine(x[n], y[n]).alias(n) for n in names])
 
 
 def _linked(parts: Column) -> Column:
     """Base spans, and the weak ones that complementary parts bear out."""
     kind = {k: KINDS.index(k) for k in KINDS}
-    overlaps = lambda x: F.exists(parts, lambda y: (y["kind"] < len(BASE)) & (y["start"] < x["end"]) & (y["end"] > x["start"]))
-    weak_secret = lambda x: _meets(x, parts, "access", "ident", "endpoint")
-    other = lambda x, k: _meets(x, parts, "assign", "hex") | (_meets(x, parts, "weak") & _meets(x, parts, "access", k))
+    ends = lambda p: _sweep(p, *_by_kind(lambda x: x["end"], F.greatest))
+    starts = lambda p: F.reverse(_sweep(F.reverse(p), *_by_kind(lambda x: x["start"], F.least)))
 
-    def keep(x):
-        borne = F.when(x["kind"] == kind["weak"], weak_secret(x)).when(x["kind"] == kind["ident"], other(x, "endpoint")).otherwise(other(x, "ident"))
-        return (x["kind"] < len(BASE)) | (~overlaps(x) & borne)
+    def keep(x, end, start):
+        """end, start: by kind, the farthest end of parts up to x and the first start from x on."""
 
-    return F.filter(parts, keep)
+        def meets(*kinds):
+            near = F.lit(False)
+            for k in kinds:
+                near = near | (end[f"k{kind[k]}"] >= x["start"] - SCOPE) | (start[f"k{kind[k]}"] <= x["end"] + SCOPE)
+            return near
+
+        overlaps = F.lit(False)
+        for k in BASE:
+            overlaps = overlaps | (end[f"k{kind[k]}"] > x["start"]) | (start[f"k{kind[k]}"] < x["end"])
+        other = lambda k: meets("assign", "hex") | (meets("weak") & meets("access", k))
+        borne = F.when(x["kind"] == kind["weak"], meets("access", "ident", "endpoint")).when(x["kind"] == kind["ident"], other("endpoint")).otherwise(other("ident"))
+        return (x["kind"] < len(BASE)) | (~overlaps & borne)
+
+    return _let(parts, lambda p: _let(ends(p), lambda end: _let(starts(p), lambda start: F.filter(p, lambda x, i: keep(x, F.get(end, i), F.get(start, i))))))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -130,14 +171,18 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """docs with each run of overlapping secret spans in text replaced by mark; a null text stays null."""
     s = scan_secrets(docs)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    blocks = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def piece(blocks, at, to):
+        first = F.floor(at / BLOCK).cast("int")
+        held = F.array_join(F.slice(blocks, first + 1, F.floor((to - 1) / BLOCK).cast("int") - first + 1), "")
+        return F.when(to > at, F.substr(held, at % BLOCK + 1, to - at)).otherwise(F.lit(""))
 
-    def step(acc, x):
-        fresh = x["end"] > acc["at"]
-        between = F.substr(F.col("text"), acc["at"] + 1, F.greatest(F.lit(0), x["start"] - acc["at"]))
-        touched = (x["start"] < acc["at"]) & (acc["at"] > 0)
-        out = F.when(fresh & ~touched, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+    def clean(blocks, ends, size):
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        parts = F.transform("secrets", lambda x, i: F.when(x["start"] >= before(i), F.concat(piece(blocks, before(i), x["start"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(parts, ""), piece(blocks, _last(ends), size))
 
-    clean = F.aggregate("secrets", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))))
-    return s.withColumn("text", F.when(F.size("secrets") > 0, clean).otherwise(F.col("text"))).drop("secrets")
+    ends = _sweep(F.col("secrets"), "int", F.lit(0), lambda x: x["end"], F.greatest)
+    masked = _let(blocks, lambda b: _let(ends, lambda e: clean(b, e, F.length("text"))))
+    return s.withColumn("text", F.when(F.size("secrets") > 0, masked).otherwise(F.col("text"))).drop("secrets")
