@@ -33,17 +33,18 @@ WINDOW, LEAST = 6, 9
 def _cleaned(text: Column) -> Column:
     """The text without placeholders of its own and without words of punctuation alone."""
     t = F.translate(F.coalesce(text, F.lit("")), HOLDERS, "   ")
-    return F.regexp_replace(t, r"(?<!\S)[^\p{L}\p{N}\p{M}\s]+(?!\S)", "")
+    return F.regexp_replace(t, r"(?![A-Za-z0-9 ])(?<!\S)[^\p{L}\p{N}\p{M}\s]+(?!\S)", "")
 
 
 def _canonical(text: Column) -> Column:
     """The text with a template word in each word's place; words stay apart by the same white space."""
     plain = "|".join(w.capitalize() for w in PLAIN)
-    t = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}\p{{M}}'’-])(?!(?:{plain})(?![\p{{L}}\p{{M}}'’-]))\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}'’-]*", NAME)
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])[+-]?[$€£]?\d[\d.,/:]*(?![\p{L}\p{N}])", NUMBER)
+    # a cheap look ahead comes first, as most places fail there
+    t = F.regexp_replace(text, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}\p{{M}}'’-])(?!(?:{plain})(?![\p{{L}}\p{{M}}'’-]))\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}'’-]*", NAME)
+    t = F.regexp_replace(t, r"(?=[+$€£0-9-])(?<![\p{L}\p{N}])[+-]?[$€£]?\d[\d.,/:]*(?![\p{L}\p{N}])", NUMBER)
     units = "|".join(sorted((u.replace("$", r"\$") for u in UNITS), key=lambda u: (-len(u), u)))
-    t = F.regexp_replace(t, rf"(?<={NUMBER} )(?i:{units})(?![\p{{L}}\p{{N}}])", UNIT)
-    return F.lower(t)
+    units = rf"(?<={NUMBER} )(?i:{units})(?![\p{{L}}\p{{N}}])"
+    return F.lower(F.when(F.contains(t, F.lit(NUMBER)), F.regexp_replace(t, units, UNIT)).otherwise(t))
 
 
 def _words(text: Column) -> Column:
@@ -56,7 +57,7 @@ def _template(df: DataFrame) -> DataFrame:
     Every word of t has a letter, digit or mark, which neither step takes away, so both
     have as many words. Also adds wh, the hashes of tpl.
     """
-    words = df.select("*", _words(F.col("t")).alias("raw"), _words(F.regexp_replace(_canonical(F.col("t")), rf"[^\p{{L}}\p{{N}}\p{{M}}{HOLDERS}\s]+", "")).alias("tpl"))
+    words = df.select("*", _words(F.col("t")).alias("raw"), _words(F.regexp_replace(_canonical(F.col("t")), rf"(?![a-z0-9 ])[^\p{{L}}\p{{N}}\p{{M}}{HOLDERS}\s]+", "")).alias("tpl"))
     return words.withColumn("wh", F.transform("tpl", lambda w: F.xxhash64(w)))
 
 
@@ -64,19 +65,11 @@ def _held(w: Column) -> Column:
     return w.isin(NUMBER, NAME, UNIT)
 
 
-def _hashes(widths: list[int]) -> Column:
-    """(at, own_width, h) of each window of tpl."""
+def _hash(at: Column, width: int) -> Column:
     holders = [F.xxhash64(F.lit(x)) for x in HOLDERS]
-
-    def every(width):
-        def one(at):
-            words = [F.get("wh", at + i) for i in range(width)]
-            alone = reduce(lambda x, y: x & y, [w.isin(*holders) for w in words])
-            return F.struct(at.alias("at"), F.lit(width).alias("own_width"), F.when(alone, F.xxhash64(F.lit("as it is"), F.slice("raw", at + 1, width))).otherwise(F.xxhash64(F.lit(width), *words)).alias("h"))
-
-        return F.transform(F.when(F.size("wh") >= width, F.sequence(F.lit(0), F.size("wh") - width)).otherwise(F.array().cast("array<int>")), one)
-
-    return F.concat(*map(every, widths)) if len(widths) > 1 else every(widths[0])
+    words = [F.get("wh", at + i) for i in range(width)]
+    alone = reduce(lambda x, y: x & y, [w.isin(*holders) for w in words])
+    return F.when(alone, F.xxhash64(F.lit("as it is"), F.slice("raw", at + 1, width))).otherwise(F.xxhash64(F.lit(width), *words))
 
 
 def _slots(at: Column, width: Column) -> Column:
@@ -100,14 +93,18 @@ def _filter(windows: DataFrame, n: int):
     for r in windows.groupBy(place(F.col("h")).alias("i")).agg(one.alias("w")).collect():  # size / 64 rows at most
         words[r["i"]] = r["w"]
     held = F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>")  # folded to one literal
-    return lambda h: F.getbit(F.get(held, place(h)), bit(h)) == 1
+    return lambda h: F.element_at(F.transform(F.array(h), lambda x: F.getbit(F.get(held, place(x)), bit(x)) == 1), 1)
 
 
 def _windows(df: DataFrame, widths: list[int], wanted=None) -> DataFrame:
     """One row for each window of each width, at every word (of hashes that pass wanted): the other columns, at (its first word), own_width, h, slots."""
     keep = [c for c in df.columns if c not in ("t", "raw", "tpl", "wh")]
-    hits = _hashes(widths) if wanted is None else F.filter(_hashes(widths), lambda x: wanted(x["h"]))
-    every = F.transform(hits, lambda x: F.struct(x["at"].alias("at"), x["own_width"].alias("own_width"), x["h"].alias("h"), _slots(x["at"], x["own_width"]).alias("slots")))
+    def places(width):
+        every = F.when(F.size("wh") >= width, F.sequence(F.lit(0), F.size("wh") - width)).otherwise(F.array().cast("array<int>"))
+        met = every if wanted is None else F.filter(every, lambda at: wanted(_hash(at, width)))
+        return F.transform(met, lambda at: F.struct(at.alias("at"), F.lit(width).alias("own_width"), _hash(at, width).alias("h"), _slots(at, F.lit(width)).alias("slots")))
+
+    every = F.concat(*map(places, widths)) if len(widths) > 1 else places(widths[0])
     # outer, as else a filter on the windows' number is inferred, which works all of them out once more
     return df.select(*keep, every.alias("w")).select(*keep, F.explode_outer("w").alias("w")).select(*keep, "w.*").where("h is not null")
 
