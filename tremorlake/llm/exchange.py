@@ -16,13 +16,19 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests on one machine), a folder of our own, set for the session."""
+    """The folder named by spark.checkpoint.dir or set as checkpoint folder.
+
+    Where neither is, a temporary folder that is set for the session, but on one machine
+    (local master, as in tests) alone: on a cluster executors would not share it.
+    """
     sc = spark.sparkContext
     got = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not got:
         there = sc._jsc.sc().getCheckpointDir()
         if there.isDefined():
             return there.get()
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         got = os.path.join(tempfile.gettempdir(), f"tremorlake-shared-{os.getpid()}")
         sc.setCheckpointDir(got)
     return got
