@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame
 from .exchange import prepare
 from .textkernel import ByteSums, Words, slices
 
-#: Pre-tokens longer than this (bytes) are counted one by one rather than in the trie.
+#: A pre-token longer than this (bytes) shares no prefix with others worth a node a level: it is a branch of its own, with the same scores.
 TRIE_DEPTH = 64
+#: Places of a long branch whose pieces are looked up at a time.
+BLOCK = 1 << 14
 #: Pre-tokens whose count a worker keeps.
 KEPT = 2_000_000
 
@@ -48,19 +50,30 @@ class Model:
             h = ByteSums(np.frombuffer(b"".join(own), dtype=np.uint8)).spans(at, at + n)
             order = np.argsort(h)
             self.by_length[n] = h[order], np.array([self.scores[p] for p in own])[order]
-        self.longest = max(self.by_length)
         self.seen = np.zeros(0, dtype=np.uint64)
         self.counts = np.zeros(0, dtype=np.int64)
 
-    def count_one(self, text: bytes) -> int:
-        """Pieces of the best segmentation; among equals, the longest last piece."""
-        best, count = [0.0] + [-np.inf] * len(text), [0] * (len(text) + 1)
-        get = self.scores.get
-        for end in range(1, len(text) + 1):
-            for n in range(min(self.longest, end), 0, -1):
-                s = get(text[end - n : end])
-                if s is not None and best[end - n] + s > best[end]:
-                    best[end], count[end] = best[end - n] + s, count[end - n] + 1
+    def count_one(self, sums: ByteSums, lo: int, hi: int) -> int:
+        """Pieces of the best segmentation of lo:hi, a trie of one branch; among equals, the longest last piece.
+
+        The pieces that end at each place are found for all places of a block at once, so
+        the steps in order are those of pieces that are there.
+        """
+        best, count = [0.0] + [-np.inf] * (hi - lo), [0] * (hi - lo + 1)
+        for first in range(lo + 1, hi + 1, BLOCK):
+            ends = np.arange(first, min(first + BLOCK, hi + 1))
+            found = []
+            for n, (hashes, values) in self.by_length.items():
+                own = ends[ends - n >= lo]
+                h = sums.spans(own - n, own)
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                hit = np.flatnonzero(hashes[at] == h)
+                found.append((own[hit] - lo, np.full(len(hit), n), values[at[hit]]))
+            end, size, value = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((-size, end))
+            for e, n, v in zip(end[order].tolist(), size[order].tolist(), value[order].tolist(), strict=True):
+                if best[e - n] + v > best[e]:
+                    best[e], count[e] = best[e - n] + v, count[e - n] + 1
         return count[-1]
 
     def count_trie(self, sums: ByteSums, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -107,10 +120,8 @@ class Model:
         a, b = lo[lead[new]], hi[lead[new]]
         short = b - a <= TRIE_DEPTH
         out[new[short]] = self.count_trie(sums, a[short], b[short])
-        raw = None
-        for i, s, e in zip(new[~short], a[~short], b[~short], strict=True):
-            raw = raw or data.tobytes()
-            out[i] = self.count_one(raw[s:e])
+        for i, s, e in zip(new[~short], a[~short].tolist(), b[~short].tolist(), strict=True):
+            out[i] = self.count_one(sums, s, e)
         if len(new):
             seen = np.concatenate([self.seen, h[new]])
             order = np.argsort(seen, kind="stable")
