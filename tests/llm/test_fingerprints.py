@@ -60,3 +60,15 @@ def test_near_duplicates_with_a_common_passage(spark):
         rows += [(2 * i + j, " ".join(passage + both + own(18))) for j in range(2)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert dict(map(tuple, near_duplicates(df).collect())) == {i: i // 2 * 2 for i, _ in rows}
+
+
+def test_buckets_by_bisection(spark):
+    from pyspark.sql import functions as F
+
+    from tremorlake.llm.fingerprints import _rank
+
+    edges = [-(2**63), -5, 0, 3, 10, 2**62]
+    for m in range(1, len(edges) + 1):
+        rows = spark.createDataFrame([(x + d,) for x in edges[1:5] for d in (-1, 0, 1)] + [(-(2**63),), (2**63 - 1,)], "x long")
+        for r in rows.select("x", _rank(edges[:m], F.col("x")).alias("n")).collect():
+            assert r["n"] == sum(e >= r["x"] for e in edges[:m])

@@ -13,9 +13,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .components import components
 from .exchange import Scratch, deal, parts, prepare, signed
@@ -84,26 +83,42 @@ def signature_table(docs: DataFrame, k: int = 5, permutations: int = 128) -> Dat
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, signature binary")
 
 
+def _longs(values: list[int | None]) -> Column:
+    """An array of these, which the optimizer folds to one literal."""
+    return F.transform(F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ","), lambda x: x.try_cast("long"))
+
+
+def _rank(edges: list[int], x: Column) -> Column:
+    """Number of edges (ascending) that are x or more, by bisection."""
+    array = _longs(edges)
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(edges)).alias("hi"))
+
+    def step(s, _):
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        open_, below = s["lo"] < s["hi"], F.get(array, mid) < x
+        return F.struct(F.when(open_ & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~below, mid).otherwise(s["hi"]).alias("hi"))
+
+    return F.lit(len(edges)) - F.aggregate(F.sequence(F.lit(1), F.lit(len(edges).bit_length())), start, step, lambda s: s["lo"])
+
+
 def _next_rows(docs: DataFrame, n: int) -> DataFrame:
     """Rows (bucket, tail, doc_id, text) in buckets of consecutive doc_ids, descending; tail: the first row of the next bucket, given once more.
 
     Buckets are cut at quantiles of doc_id; a doc_id is never split, so bucket edges are
-    decided by ids alone, before any text moves.
+    decided by ids alone, before any text moves. A row finds its bucket by bisection in one
+    array literal of edges.
     """
     ids = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
     cuts = sorted({int(x) for x in ids.select(F.col("id").cast("double")).approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
     # bucket 0 has the largest ids
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast(T.ArrayType(T.LongType()))
-    bucket = F.size(F.filter(edges, lambda c: c >= F.col("id"))) if cuts else F.lit(0)
+    bucket = _rank(cuts, F.col("id")) if cuts else F.lit(0)
     heads = sorted(map(tuple, ids.select(bucket.alias("bucket"), "id").groupBy("bucket").agg(F.max("id")).collect()))  # one row a bucket
-    at = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}  # the first document follows the last one
-    m = {b: i for i, (b, _) in enumerate(heads)}
-    from itertools import chain
-
-    number = F.create_map(*[F.lit(x) for x in chain.from_iterable(m.items())]) if m else F.create_map(F.lit(0), F.lit(0))
-    also = F.create_map(*[F.lit(x) for x in chain.from_iterable(at.items())]) if at else F.create_map(F.lit(0), F.lit(0))
+    number, head, before = [None] * (len(cuts) + 1), [None] * (len(cuts) + 1), [None] * (len(cuts) + 1)
+    for i, (b, first) in enumerate(heads):
+        number[b], head[b], before[b] = i, first, (i - 1) % len(heads)  # the first document follows the last one
     rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "doc_id", "text")
-    own = rows.select(bucket.alias("b"), "id", "doc_id", "text").select(F.element_at(number, F.col("b")).alias("bucket"), "id", "doc_id", "text", F.element_at(number, F.element_at(also, F.col("id"))).alias("extra"))
+    at = lambda values: F.get(_longs(values), F.col("b")).cast("long")
+    own = rows.select(bucket.alias("b"), "id", "doc_id", "text").select(at(number).cast("int").alias("bucket"), "id", "doc_id", "text", F.when(at(head) == F.col("id"), at(before).cast("int")).alias("extra"))
     both = F.when(F.col("extra").isNull(), F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("tail")))).otherwise(F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("tail")), F.struct(F.col("extra").alias("to"), F.lit(True).alias("tail"))))
     out = own.select(F.explode(both).alias("x"), "id", "doc_id", "text").select(F.col("x.to").alias("bucket"), F.col("x.tail").alias("tail"), "id", "doc_id", "text")
     return deal(out, max(1, len(heads))).sortWithinPartitions("tail", F.desc("id"), F.desc_nulls_last("text"))
