@@ -9,6 +9,7 @@ from .decontamination import leaks
 from .fingerprints import edited_fingerprints
 from .html_text import extract_text
 from .jaccard_join import jaccard_components
+from .oracles import ORACLE
 from .packing import pack
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
@@ -56,7 +57,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"))
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +74,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
