@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .exchange import Scratch, deal, parts, prepare, signed
-from .textkernel import U64, Words, blobs, buffers, mix, shingle_sets, slices, unblob
+from .exchange import Bloom, Scratch, deal, parts, prepare, signed
+from .jaccard_join import join_regions, needed_sets, sets_of
+from .textkernel import U64, Words, buffers, mix, slices
 
 SEED = 11
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -42,12 +42,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return h, np.concatenate([[0], np.cumsum(take)])[w.bounds]
 
 
-def signatures(data: np.ndarray, offsets: np.ndarray, k: int, permutations: int) -> np.ndarray:
-    """uint32 (texts, permutations); all ones for a text without words."""
+def signatures(h: np.ndarray, bounds: np.ndarray, permutations: int) -> np.ndarray:
+    """uint32 (texts, permutations) of the shingle hashes of each text; all ones for a text without words."""
     a, b = coefficients(permutations)
-    h, bounds = shingles(data, offsets, k)
-    out = np.full((len(offsets) - 1, permutations), EMPTY)
-    full = np.flatnonzero(np.diff(bounds) > 0)
+    out = np.full((len(bounds) - 1, permutations), EMPTY)
     buf = np.empty(CHUNK, dtype=np.uint64)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     for lo in range(0, len(h), CHUNK):
@@ -62,7 +60,6 @@ def signatures(data: np.ndarray, offsets: np.ndarray, k: int, permutations: int)
             np.add(x, b[j], out=x)
             np.minimum.reduceat(x, start, out=low[j])
         out[rows] = np.minimum(out[rows], (low >> U64(32)).astype(np.uint32).T)
-    assert len(full) <= len(out)
     return out
 
 
@@ -77,7 +74,7 @@ def signature_table(docs: DataFrame, k: int = 5, permutations: int = 128) -> Dat
 
     def scan(batches):
         for rows, data, offsets in slices(batches, "text"):
-            sig = signatures(data, offsets, k, permutations)
+            sig = signatures(*shingles(data, offsets, k), permutations)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in sig.astype(">u4")], pa.binary())], names=["doc_id", "signature"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, signature binary")
@@ -148,7 +145,7 @@ def edited_fingerprints(docs: DataFrame, k: int = 5, permutations: int = 128) ->
                 got, i = [], 0
                 while i < len(side):
                     j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (2 << 20), side="right")) - 1)
-                    got.append(signatures(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k, permutations))
+                    got.append(signatures(*shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k), permutations))
                     i = j
                 sides.append(np.concatenate(got))
             own, edited = sides[0][:-1], sides[1]
@@ -179,25 +176,22 @@ def edited_fingerprints(docs: DataFrame, k: int = 5, permutations: int = 128) ->
     return _next_rows(docs, n).select("bucket", "tail", "id", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, permutations: int = 128, bands: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, permutations: int = 128, bands: int = 32, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, class_id): documents joined by verified links of Jaccard similarity num/den or more among band candidates.
 
-    A band key is met by way of its least document first, so a group of g copies gives g
-    candidates a band, not g squared; then members of a key that are not joined yet are
-    compared with each other where their sizes allow a link, so strangers that share a
-    band cost the square of their number. Equal sets are joined without candidates.
-    With 32 bands of 4 rows a pair of similarity 0.75 meets with probability above
-    0.999. Texts without words are classes of their own; class_id is the smallest doc_id.
+    Rows with equal sets are one candidate. Documents that share a band key are a region,
+    and regions with the same members are one; in them join_regions compares pivots with
+    members and goes on with those that the triangle inequality leaves open, so a group of
+    g copies costs g comparisons, not g squared, and no candidate pair that could join
+    classes is left out. With 32 bands of 4 rows a pair of similarity 0.75 meets with
+    probability above 0.999. Texts without words are classes of their own; class_id is the
+    smallest doc_id (null rows lend none).
     """
-    spark = docs.sparkSession
-    scratch, rows = Scratch(spark, "minhash"), permutations // bands
+    scratch, rows = scratch or Scratch(docs.sparkSession, "minhash"), permutations // bands
 
     def scan(batches):
-        for part, data, offsets in slices(batches, "text"):
-            sig = signatures(data, offsets, k, permutations)
-            h, bounds = shingle_sets(Words(data, offsets, lower=True), k)
-            fp = mix(np.add.reduceat(np.append(mix(h), U64(0)), np.minimum(bounds[:-1], len(h)))) if len(bounds) > 1 else np.zeros(0, U64)
-            n = np.diff(bounds)
+        for part, h, bounds, n, fp in sets_of(batches, "text", k):
+            sig = signatures(h, bounds, permutations)
             keys = np.zeros((len(sig), bands), dtype=np.uint64)
             for i in range(bands):
                 x = np.full(len(sig), i + 1, dtype=np.uint64)
@@ -205,37 +199,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, per
                     x = mix(x + sig[:, i * rows + j].astype(np.uint64))
                 keys[:, i] = x
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * bands, pa.int32()), pa.array(signed(keys.ravel())))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed(np.where(n > 0, fp, U64(0)))), pa.array(n, pa.int64()), flat, blobs(h, bounds)], names=["doc_id", "fp", "n", "keys", "hashes"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed(fp)), pa.array(n, pa.int32()), flat], names=["doc_id", "fp", "n", "keys"])
 
-    every = scratch.save(docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, fp long, n long, keys array<long>, hashes binary"))
-    one = scratch.save(every.where("n > 0").groupBy("fp").agg(F.first("keys").alias("keys"), F.first("hashes").alias("hashes")))
-    meet = one.select("fp", F.explode("keys").alias("key"))
-    least = meet.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
-    sets = one.select("fp", "hashes")
+    every = scratch.save(docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, fp long, n int, keys array<long>"))
+    one = scratch.save(every.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
+    meet = one.select("fp", "n", F.explode("keys").alias("rid"))
+    held = meet.groupBy("rid").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(fp))").alias("who")).where("m > 1")
+    regions = scratch.save(held.groupBy("m", "who").agg(F.min("rid").alias("rid")).select("rid"))
+    shared = docs.sparkSession.sparkContext.broadcast(Bloom.build(regions, "rid"))  # Bloom.BITS / 8 bytes
 
-    def verify(batches):
+    def members(batches):
+        bloom = Bloom(shared.value)
         for b in batches:
-            x, xb = unblob(b.column(2))
-            y, yb = unblob(b.column(3))
-            keep = []
-            for i in range(b.num_rows):
-                u, v = x[xb[i] : xb[i + 1]], y[yb[i] : yb[i + 1]]
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(den * both >= num * (len(u) + len(v) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def verified(pairs):
-        return pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-
-    first = scratch.save(verified(meet.join(least, "key").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()))
-    # a member may be linked with another one and not with the least: what the first links leave apart in a key is compared
-    joined = components(first, scratch).withColumnRenamed("node", "fp")
-    member = scratch.save(meet.join(joined, "fp", "left").join(one.select("fp", (F.length("hashes") / 8).cast("long").alias("m")), "fp").select("key", "fp", F.coalesce("root", "fp").alias("root"), "m"))
-    apart = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    side = lambda c: member.join(apart, "key").select("key", F.col("fp").alias(c), F.col("root").alias(f"r{c}"), F.col("m").alias(f"m{c}"))
-    sized = F.least("ma", "mb") * den >= F.greatest("ma", "mb") * num
-    rest = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sized).select("a", "b").distinct()
-    roots = components(first.unionByName(scratch.save(verified(rest))), scratch)
+            keys = b.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.flatnonzero(bloom.has(keys))
+            of = pa.array(at // bands)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys[at])), b.column(0).take(of), b.column(1).take(of), pa.array(np.zeros(len(at), dtype=np.int32))], names=["rid", "fp", "n", "place"])
+
+    near = scratch.save(one.select("fp", "n", "keys").mapInArrow(members, "rid long, fp long, n int, place int").join(regions, "rid", "left_semi"))
+    scratch.drop(one, regions)
+    sets = scratch.save(needed_sets(docs, k, Bloom.build(near, "fp")))
+    _, roots = join_regions(near, sets, scratch, num, den)
     named = every.select("doc_id", "fp", "n").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "fp")))
     class_id = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(class_id, "root", "left").select("doc_id", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("class_id"))
+    out = scratch.save(named.join(class_id, "root", "left").select("doc_id", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("class_id")))
+    scratch.keep_only(out)
+    return out

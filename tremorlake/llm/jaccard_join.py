@@ -39,7 +39,7 @@ FLUSH = 1 << 18
 FEW = 50_000
 
 
-def _sets(batches, column, k):
+def sets_of(batches, column, k):
     for rows, data, offsets in slices(batches, column):
         h, bounds = shingle_sets(Words(data, offsets, lower=True), k)
         n = np.diff(bounds)
@@ -57,7 +57,7 @@ def _points(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, bytes
 
     def scan(batches):
         cells, seen = np.zeros(CELLS, dtype=np.uint32), False
-        for rows, h, _, n, fp in _sets(batches, "text", k):
+        for rows, h, _, n, fp in sets_of(batches, "text", k):
             cells += np.bincount((h & U64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
             seen = seen or len(h) > 0
             m = rows.num_rows
@@ -107,7 +107,7 @@ def _regions(docs: DataFrame, k: int, num: int, den: int, classes: bytes) -> Dat
             out = split_by(to, n_parts, p)
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), binary([a[0] for _, a in out])], names=["bucket", "postings"])
 
-        for _, h, bounds, n, fp in _sets(batches, "text", k):
+        for _, h, bounds, n, fp in sets_of(batches, "text", k):
             first = np.zeros(len(fp), dtype=bool)
             first[np.unique(fp, return_index=True)[1]] = True
             first &= (n > 0) & ~np.isin(fp, seen)
@@ -303,12 +303,12 @@ def _open(members: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame
     return own.join(both, "rid").where((hi >= least - r) & (lo <= most + r)).select("rid", "fp", "n", "place", "d0", "root")
 
 
-def _needed_sets(docs: DataFrame, k: int, bloom: bytes) -> DataFrame:
+def needed_sets(docs: DataFrame, k: int, bloom: bytes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bloom)  # Bloom.BITS / 8 bytes
 
     def emit(batches):
         has, seen = Bloom(shared.value).has, np.zeros(0, dtype=np.uint64)
-        for _, h, bounds, n, fp in _sets(batches, "text", k):
+        for _, h, bounds, n, fp in sets_of(batches, "text", k):
             first = np.zeros(len(fp), dtype=bool)
             first[np.unique(fp, return_index=True)[1]] = True
             first &= (n > 0) & ~np.isin(fp, seen)
@@ -321,16 +321,12 @@ def _needed_sets(docs: DataFrame, k: int, bloom: bytes) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(emit, "fp long, hashes binary").groupBy("fp").agg(F.first("hashes").alias("hashes"))
 
 
-def jaccard_links(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 3, den: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(points, links, roots): points has doc_id, n_shingles and fp (equal sets, equal fp; 0 for none) of each document.
+def join_regions(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(links, roots) of the members (rid, fp, n, place) of regions, whose sets are in sets (fp, hashes).
 
-    links (a, b, both, total) has links between different fps, enough to join exactly
-    those documents that links of similarity num/den or more join; roots (node, root)
-    their components.
+    links (a, b, both, total) are enough to join exactly those members that links of
+    similarity num/den or more inside regions join; roots (node, root): their components.
     """
-    points, classes = _points(docs, k, scratch)
-    members = scratch.save(_regions(docs, k, num, den, classes))
-    sets = scratch.save(_needed_sets(docs, k, Bloom.build(members, "fp")))
     members = members.withColumn("d0", F.lit(None).cast("double")).withColumn("root", F.col("fp"))
     links, roots, m = None, None, 1
     while True:
@@ -352,7 +348,15 @@ def jaccard_links(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 3, d
         left = rest.select("rid", "fp", "n", "place", "d0")
         members, m = scratch.save(_open(left, roots, num, den)), m * 16
         if members.isEmpty():
-            return points, links, roots
+            return links, roots
+
+
+def jaccard_links(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 3, den: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points, links, roots): points has doc_id, n_shingles and fp (equal sets, equal fp; 0 for none) of each document; links and roots as join_regions gives them."""
+    points, classes = _points(docs, k, scratch)
+    members = scratch.save(_regions(docs, k, num, den, classes))
+    sets = scratch.save(needed_sets(docs, k, Bloom.build(members, "fp")))
+    return points, *join_regions(members, sets, scratch, num, den)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4) -> DataFrame:
