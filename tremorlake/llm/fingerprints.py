@@ -98,12 +98,19 @@ def _rank(edges: list[int], x: Column) -> Column:
     return F.lit(len(edges)) - F.aggregate(F.sequence(F.lit(1), F.lit(len(edges).bit_length())), start, step, lambda s: s["lo"])
 
 
-def _next_rows(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (bucket, tail, doc_id, text) in buckets of consecutive doc_ids, descending; tail: the first row of the next bucket, given once more.
+#: Kinds of rows of a bucket, in their order there.
+CLASS, OWN, TAIL = range(3)
+#: Place of the text in such a row.
+TEXT = 5
 
-    Buckets are cut at quantiles of doc_id; a doc_id is never split, so bucket edges are
-    decided by ids alone, before any text moves. A row finds its bucket by bisection in one
-    array literal of edges.
+
+def _next_rows(docs: DataFrame, n: int, classes: DataFrame) -> DataFrame:
+    """Rows (bucket, kind, id, class_id, doc_id, text) in buckets of consecutive doc_ids, descending.
+
+    Kinds: CLASS, the rows of classes (doc_id, class_id); OWN, those of docs; TAIL, the first
+    row of the next bucket, given once more. Buckets are cut at quantiles of doc_id; a
+    doc_id is never split, so bucket edges are decided by ids alone, before any text
+    moves. A row finds its bucket by bisection in one array literal of edges.
     """
     ids = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
     cuts = sorted({int(x) for x in ids.select(F.col("id").cast("double")).approxQuantile("id", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
@@ -113,30 +120,37 @@ def _next_rows(docs: DataFrame, n: int) -> DataFrame:
     number, head, before = [None] * (len(cuts) + 1), [None] * (len(cuts) + 1), [None] * (len(cuts) + 1)
     for i, (b, first) in enumerate(heads):
         number[b], head[b], before[b] = i, first, (i - 1) % len(heads)  # the first document follows the last one
-    rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "doc_id", "text")
     at = lambda values: F.get(_longs(values), F.col("b")).cast("long")
-    own = rows.select(bucket.alias("b"), "id", "doc_id", "text").select(at(number).cast("int").alias("bucket"), "id", "doc_id", "text", F.when(at(head) == F.col("id"), at(before).cast("int")).alias("extra"))
-    both = F.when(F.col("extra").isNull(), F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("tail")))).otherwise(F.array(F.struct(F.col("bucket").alias("to"), F.lit(False).alias("tail")), F.struct(F.col("extra").alias("to"), F.lit(True).alias("tail"))))
-    out = own.select(F.explode(both).alias("x"), "id", "doc_id", "text").select(F.col("x.to").alias("bucket"), F.col("x.tail").alias("tail"), "id", "doc_id", "text")
-    return deal(out, max(1, len(heads))).sortWithinPartitions("tail", F.desc("id"), F.desc_nulls_last("text"))
+    rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.lit(None).cast("long").alias("class_id"), "doc_id", "text")
+    placed = lambda df: df.withColumn("b", bucket).withColumn("bucket", at(number).cast("int"))
+    own = placed(rows).withColumn("extra", F.when(at(head) == F.col("id"), at(before).cast("int")))
+    kinds = lambda kind, to: F.struct(F.col(to).alias("to"), F.lit(kind).alias("kind"))
+    both = F.when(F.col("extra").isNull(), F.array(kinds(OWN, "bucket"))).otherwise(F.array(kinds(OWN, "bucket"), kinds(TAIL, "extra")))
+    out = own.select(F.explode(both).alias("x"), "id", "class_id", "doc_id", "text").select(F.col("x.to").alias("bucket"), F.col("x.kind").alias("kind"), "id", "class_id", "doc_id", "text")
+    named = placed(classes.select(F.col("doc_id").alias("id"), "class_id")).select("bucket", F.lit(CLASS).alias("kind"), "id", "class_id", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    return deal(out.union(named), max(1, len(heads))).sortWithinPartitions("kind", F.desc("id"), F.desc_nulls_last("text"))
 
 
 def edited_fingerprints(docs: DataFrame, k: int = 5, permutations: int = 128) -> DataFrame:
-    """The fingerprint of each text, of its edited text, and their likeness to each other and to the next document's.
+    """The fingerprint of each text, of its edited text, their likeness to each other and to the next document's, and the class of near copies.
 
     Order: doc_id descending, rows with equal doc_id by text descending, null doc_id last;
     the first follows the last (a single row follows itself). Edited: the last
     floor(n_chars / 3) code points give way to as many first ones of the next text (or
     all of it). Null texts are empty; texts without words have equal fingerprints.
+    class_id is that of near_duplicates (banded signatures, verified); rows that share a
+    doc_id have the least of theirs, rows with a null one have none.
     """
-    prepare(docs.sparkSession)
+    found = near_duplicates(docs, k, permutations=permutations)
+    classes = found.where("class_id < doc_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     n = parts(docs.sparkSession)
 
     def run(batches):
         held: pa.RecordBatch | None = None
+        known = [np.zeros(0, dtype=np.int64)] * 2  # doc_ids, ascending, and their classes
 
         def work(rows: pa.RecordBatch, following: str):
-            texts = [x or "" for x in rows.column(4).to_pylist()]
+            texts = [x or "" for x in rows.column(TEXT).to_pylist()]
             nexts = texts[1:] + [following]
             cut = [t[: len(t) - len(t) // 3] + f[: len(t) // 3] for t, f in zip(texts, nexts, strict=True)]
             sides = []
@@ -151,29 +165,48 @@ def edited_fingerprints(docs: DataFrame, k: int = 5, permutations: int = 128) ->
             own, edited = sides[0][:-1], sides[1]
             hexes = lambda s: pa.array([x.tobytes().hex() for x in s.astype(">u4")])
             return pa.RecordBatch.from_arrays(
-                [rows.column(3), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in cut]), hexes(own), hexes(edited), pa.array(likeness(own, edited)), pa.array(likeness(own, sides[0][1:]))],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                [rows.column(4), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in cut]), hexes(own), hexes(edited), pa.array(likeness(own, edited)), pa.array(likeness(own, sides[0][1:])), class_of(rows)],
+                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"],
             )
 
-        def singles():
+        def class_of(rows: pa.RecordBatch) -> pa.Array:
+            ids = rows.column(2).to_numpy(zero_copy_only=False)
+            own = ids.copy()
+            if len(known[0]):
+                at = np.minimum(np.searchsorted(known[0], ids), len(known[0]) - 1)
+                own = np.where(known[0][at] == ids, known[1][at], ids)
+            return pa.array(own, pa.int64(), mask=rows.column(4).is_null().to_numpy(zero_copy_only=False))
+
+        def texts():
+            """Rows with text, once the classes of the bucket are known (16 bytes a row that has a smaller class)."""
+            found = []
             for b in batches:
-                for rows, _, _ in slices(iter([b]), "text"):
-                    yield rows
-
-        for rows in singles():
-            tails = rows.column(1).to_numpy(zero_copy_only=False)
+                kind = b.column(1).to_numpy(zero_copy_only=False)
+                m = int((kind == CLASS).sum())
+                if m:
+                    found.append([b.column(c).slice(0, m).to_numpy(zero_copy_only=False) for c in (2, 3)])
+                if m < b.num_rows:
+                    if found:
+                        ids, cls = (np.concatenate(c) for c in zip(*found, strict=True))
+                        known[:] = ids[::-1], cls[::-1]  # they came descending
+                        found = []
+                    for rows, _, _ in slices(iter([b.slice(m)]), "text"):
+                        yield rows
+
+        for rows in texts():
+            tails = rows.column(1).to_numpy(zero_copy_only=False) == TAIL
             own = int((~tails).sum())
             if held is not None:
-                yield work(held, rows.column(4)[0].as_py() or "")
+                yield work(held, rows.column(TEXT)[0].as_py() or "")
                 held = None
             if own == rows.num_rows:
                 held = rows
             else:  # of rows that share the next bucket's first doc_id, the first in order is next
                 if own:
-                    yield work(rows.slice(0, own), rows.column(4)[own].as_py() or "")
+                    yield work(rows.slice(0, own), rows.column(TEXT)[own].as_py() or "")
                 return
 
-    return _next_rows(docs, n).select("bucket", "tail", "id", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return _next_rows(docs, n, classes).select("bucket", "kind", "id", "class_id", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, permutations: int = 128, bands: int = 32, scratch: Scratch | None = None) -> DataFrame:
