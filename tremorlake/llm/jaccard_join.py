@@ -326,7 +326,9 @@ def join_regions(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int
 
     links (a, b, both, total) are enough to join exactly those members that links of
     similarity num/den or more inside regions join; roots (node, root): their components.
+    members is a saved table, which is dropped after its round.
     """
+    table = members
     members = members.withColumn("d0", F.lit(None).cast("double")).withColumn("root", F.col("fp"))
     links, roots, m = None, None, 1
     while True:
@@ -337,6 +339,7 @@ def join_regions(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int
             ids = wanted.select(F.col("a").alias("fp")).union(wanted.select("b")).distinct()
             own = sets.join(F.broadcast(ids), "fp", "left_semi")
         measured = scratch.save(_measure(wanted, own))
+        scratch.drop(wanted)
         near = measured.where(den * F.col("both") >= num * F.col("total"))
         links = near if links is None else links.unionByName(near)
         roots = components(links.select("a", "b"), scratch)
@@ -347,6 +350,8 @@ def join_regions(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int
             rest = rest.drop("d0").join(near_pivot, ["rid", "fp"], "left")
         left = rest.select("rid", "fp", "n", "place", "d0")
         members, m = scratch.save(_open(left, roots, num, den)), m * 16
+        scratch.drop(table)
+        table = members
         if members.isEmpty():
             return links, roots
 
